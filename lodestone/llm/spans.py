@@ -25,8 +25,10 @@ from lodestone.session import materialise, table
 LEAST = 300
 WINDOW = 200
 GRAM = 16
-#: Classes of contexts in one group's tree; larger groups are settled by distributed window counts.
+#: Classes of contexts in one prefix's tree; larger ones are settled by distributed window counts.
 MAX_CLASSES = 256
+#: Classes that a group of prefixes holds on average.
+GROUP_CLASSES = 10_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -171,9 +173,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _tree_group(least: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        alone = (group["lo_t"] == group["hi_t"]).tolist()
-        spans = tree_spans(group["back"].tolist(), group["fore"].tolist(), group["lo_t"].tolist(), alone, least)
-        rows = [(h, c, a, b) for h, c, own in zip(group["h"], group["c"], spans, strict=True) for a, b in merged(own)]
+        """A memory-sized group of prefixes, one tree each."""
+        group = group.sort_values("h", kind="stable")
+        h, c, lo, hi = (group[k].to_numpy() for k in ("h", "c", "lo_t", "hi_t"))
+        backs, fores = group["back"].tolist(), group["fore"].tolist()
+        edges = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
+        rows = []
+        for x, y in zip(edges, edges[1:], strict=False):
+            spans = tree_spans(backs[x:y], fores[x:y], lo[x:y].tolist(), (lo[x:y] == hi[x:y]).tolist(), least)
+            rows += [(h[x], c[x + n], a, b) for n, own in enumerate(spans) for a, b in merged(own)]
         return pd.DataFrame(rows, columns=["h", "c", "a", "b"])
 
     return run
@@ -192,7 +200,8 @@ def shared_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, text
     classes = contexts.groupBy("h", "c").agg(F.min("t").alias("lo_t"), F.max("t").alias("hi_t"), F.any_value("back").alias("back"), F.any_value("fore").alias("fore"))
     sizes = contexts.groupBy("h").agg(F.approx_count_distinct("c").alias("n"))
     sized = classes.join(sizes, "h")
-    trees = sized.where(F.col("n") <= max_classes).drop("n").groupBy("h").applyInPandas(_tree_group(least), "h long, c long, a int, b int")
+    groups = 1 + contexts.count() // GROUP_CLASSES
+    trees = sized.where(F.col("n") <= max_classes).drop("n").groupBy(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("g")).applyInPandas(_tree_group(least), "h long, c long, a int, b int")
     # the same for a large group, without holding it: windows that begin up to `window` before the anchor, counted by their hash
     windows = sized.where(F.col("n") > max_classes).select(
         "h", "c", "lo_t", "hi_t",
