@@ -1,11 +1,12 @@
 """Problem 5: records that share most of their content, by a chosen-path join.
 
-A record is the set of its runs of ``shingle`` words, hashed.  In every run a record follows its own branches: from a
-path it goes on with each of its tokens whose hash, seeded by run and path, falls under ``branching / size`` of the range,
-so similar records choose the same tokens.  A path ends in a bucket as soon as it holds a token that few records have
-(counted over all rows in a fixed-size sketch), so buckets are small; paths of common tokens only are split on, up to
-``MAX_DEPTH``.  Records that meet in a bucket are compared exactly.  Runs are repeated until the chance to miss a pair at
-the threshold falls under ``1 - recall``.
+A record is the set of its runs of ``shingle`` words, hashed.  A record follows its own branches: from a path it goes on
+with each of its tokens whose hash, seeded by the path, falls under a share of the range, so similar records choose the
+same tokens.  A path ends in a bucket as soon as it holds a token that few records have (counted over all rows in a
+fixed-size sketch), so buckets are small: one split is enough for them, and all runs take it at once, choosing about
+``FIRST_TOKENS`` of a record's rare tokens.  Records of mostly common tokens are split on, up to ``MAX_DEPTH``, in runs
+repeated until the chance to miss a pair at the threshold falls under ``1 - recall``.  Records that meet in a bucket are
+compared exactly.
 
 Records of equal sets are folded first and only spelled out in the pairs.  Records under ``least_words`` words, null or
 empty texts are in no pair.  Equal rows under one id give one pair.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,10 @@ SMALL_BUCKET = 20
 #: Counters of the sketch; fixed, so what is broadcast (a bit for each) is 512 KB at any input size.
 SKETCH_BITS = 22
 CHUNKS = 64
-MAX_DEPTH = 12
-BRANCHING = 1.6
+MAX_DEPTH = 6
+BRANCHING = 1.3
+#: Rare tokens chosen in the first split, if at least this share of the record's tokens is rare.
+FIRST_TOKENS, RARE_SHARE = 12, 0.3
 RECALL = 0.9995
 _U = np.uint64
 
@@ -44,26 +48,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def shingle_sets(texts: list[str | None], shingle: int, least_words: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+class Words(dict):
+    """Hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def shingle_sets(texts: list[str | None], shingle: int, least_words: int, known: Words) -> tuple[np.ndarray, np.ndarray]:
     """Flat sorted distinct 32-bit shingle hashes of each text, and its count (0: too short)."""
-    flat, counts = [], np.zeros(len(texts), dtype=np.int64)
-    if len(known) > 2_000_000:
-        known.clear()
-    for n, text in enumerate(texts):
-        words = WORD.findall(text.lower()) if text else ()
-        if len(words) < max(least_words, shingle):
-            continue
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        ids = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        value = ids[: len(ids) - shingle + 1]
-        for k in range(1, shingle):
-            value = _mix(value * _U(0x9E3779B97F4A7C15) + ids[k : len(ids) - shingle + 1 + k])
-        value = np.unique((_mix(value) >> _U(32)).astype(np.uint32))
-        flat.append(value)
-        counts[n] = len(value)
-    return (np.concatenate(flat) if flat else np.zeros(0, dtype=np.uint32)), counts
+    counts = np.zeros(len(texts), dtype=np.int64)
+    split = [WORD.findall(t.lower()) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    split = [w for w in split if len(w) >= max(least_words, shingle)]
+    kept = np.flatnonzero(sizes >= max(least_words, shingle))
+    if not len(kept):
+        return np.zeros(0, dtype=np.uint32), counts
+    ids = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(sizes[kept].sum()))
+    value = ids
+    for k in range(1, shingle):
+        value = _mix(value[:-1] * _U(0x9E3779B97F4A7C15) + ids[k:])
+    owner = np.repeat(np.arange(len(kept), dtype=np.uint64), sizes[kept])
+    within = owner[: len(value)] == owner[len(ids) - len(value) :]
+    keyed = np.unique((owner[: len(value)][within] << _U(32)) | (_mix(value[within]) >> _U(32)))
+    counts[kept] = np.bincount((keyed >> _U(32)).astype(np.int64), minlength=len(kept))
+    return (keyed & _U(0xFFFFFFFF)).astype(np.uint32), counts
 
 
 def missed_by_a_run(threshold: float, branching: float, depth: int) -> float:
@@ -74,34 +86,41 @@ def missed_by_a_run(threshold: float, branching: float, depth: int) -> float:
     return miss
 
 
+def _follow(wide: np.ndarray, begins: np.ndarray, counts: np.ndarray, record: np.ndarray, path: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places, records and new paths of the tokens chosen from each path; limit by record."""
+    size = counts[record]
+    total = int(size.sum())
+    which = np.repeat(np.arange(len(record)), size)
+    at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + begins[record][which]
+    hit = np.flatnonzero((_mix(wide[at] ^ path[which]) >> _U(1)) < limit[record[which]])
+    at, which = at[hit], which[hit]
+    return at, record[which], _mix(path[which] * _U(0x9E3779B97F4A7C15) + wide[at])
+
+
+def _limits(share: np.ndarray) -> np.ndarray:
+    return (np.minimum(share, 1.0) * 2.0**62 * 1.9999).astype(np.uint64)
+
+
 def chosen_paths(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray, runs: int, branching: float) -> tuple[np.ndarray, np.ndarray]:
-    """(record, path) of every leaf; common: whether many records have the token."""
-    live = counts > 0
-    ends = np.cumsum(counts)
-    begins = ends - counts
-    limit = np.full(len(counts), 2.0**63)
-    limit[live] = np.minimum(branching / counts[live], 1.0) * 2.0**63
-    limit = limit.astype(np.uint64)
+    """(record, path) of every leaf, the last bit of path telling a leaf of a deeper run; common: whether many records have the token."""
+    size = np.maximum(counts, 1)
+    begins = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(counts)), counts)
+    rare = np.bincount(owner, weights=~common, minlength=len(counts))
     wide = _mix(tokens.astype(np.uint64) + _U(0x51ED270B))
-    owners, leaves = [], []
-    for run in range(runs):
-        record = np.flatnonzero(live)
-        path = np.full(len(record), _mix(np.array([run + 1], dtype=np.uint64))[0])
+    start = lambda run, record: np.full(len(record), _mix(np.array([run + 1], dtype=np.uint64))[0])
+    live = np.flatnonzero(counts)
+    at, record, path = _follow(wide, begins, counts, live, start(-1, live), _limits(FIRST_TOKENS / np.maximum(rare, RARE_SHARE * size)))
+    owners, leaves = [record[~common[at]]], [path[~common[at]] & ~_U(1)]
+    deep, limit = np.flatnonzero((counts > 0) & (rare < RARE_SHARE * size)), _limits(branching / size)
+    for run in range(runs if len(deep) else 0):
+        record, path = deep, start(run, deep)
         for depth in range(MAX_DEPTH):
-            size = counts[record]
-            total = int(size.sum())
-            if not total:
-                break
-            which = np.repeat(np.arange(len(record)), size)
-            at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + begins[record][which]
-            chosen = _mix(wide[at] ^ path[which])
-            hit = np.flatnonzero((chosen >> _U(1)) < limit[record[which]])
-            at, which = at[hit], which[hit]
-            new, owner = _mix(path[which] * _U(0x9E3779B97F4A7C15) + wide[at]), record[which]
-            ended = ~common[at] if depth + 1 < MAX_DEPTH else np.ones(len(at), dtype=bool)
-            owners.append(owner[ended])
-            leaves.append(new[ended])
-            record, path = owner[~ended], new[~ended]
+            at, record, path = _follow(wide, begins, counts, record, path, limit)
+            ended = ~common[at] | (depth + 1 == MAX_DEPTH)
+            owners.append(record[ended])
+            leaves.append(path[ended] | _U(1))
+            record, path = record[~ended], path[~ended]
     return np.concatenate(owners), np.concatenate(leaves)
 
 
@@ -113,11 +132,10 @@ def _set_ids(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _sketch(shingle: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, known = np.zeros(1 << SKETCH_BITS, dtype=np.uint16), {}
+        counters, known = np.zeros(1 << SKETCH_BITS, dtype=np.int64), Words()
         for batch in batches:
             tokens, _ = shingle_sets(batch.column(2).to_pylist(), shingle, least_words, known)
-            for place, n in zip(*np.unique(tokens >> np.uint32(32 - SKETCH_BITS), return_counts=True), strict=True):
-                counters[place] = min(65535, int(counters[place]) + int(n))
+            counters += np.bincount(tokens >> np.uint32(32 - SKETCH_BITS), minlength=1 << SKETCH_BITS)
         small = np.minimum(counters, 255).astype(np.uint8).reshape(CHUNKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], names=["chunk", "counters"])
 
@@ -129,9 +147,9 @@ def _common_bits(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "bits": [np.packbits(total > SMALL_BUCKET).tobytes()]})
 
 
-def _leaves(shingle: int, least_words: int, runs: int, branching: float, shared):
+def _records(shingle: int, least_words: int, runs: int, branching: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Words()
         bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
@@ -140,25 +158,27 @@ def _leaves(shingle: int, least_words: int, runs: int, branching: float, shared)
                 if not len(tokens):
                     continue
                 owner, leaf = chosen_paths(tokens, counts, bits[tokens >> np.uint32(32 - SKETCH_BITS)], runs, branching)
-                sets = _set_ids(tokens, counts)
+                tabs = np.array([xxhash.xxh64_intdigest(t) for t in part.column(0).to_pylist()], dtype=np.uint64)
+                leaf = (_mix((leaf >> _U(1)) ^ tabs[owner]) & ~_U(1)) | (leaf & _U(1))
+                order = np.argsort(owner, kind="stable")
+                kept = np.flatnonzero(counts)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts))[kept])]).astype(np.int32)
+                leaves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaf[order].view(np.int64)))
+                took = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner)), pa.array(leaf.view(np.int64)), pa.array(sets[owner]), pa.array(counts[owner].astype(np.int32))], names=["tab", "path", "set", "n"]
+                    [part.column(0).take(took), part.column(1).take(took), pa.array(_set_ids(tokens, counts)[kept]), pa.array(counts[kept].astype(np.int32)), leaves], names=["tab", "id", "set", "n", "leaves"]
                 )
 
     return run
 
 
-def _sets(shingle: int, least_words: int, with_tokens: bool):
+def _tokens(shingle: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Words()
         for batch in batches:
             tokens, counts = shingle_sets(batch.column(2).to_pylist(), shingle, least_words, known)
-            kept = np.flatnonzero(counts)
-            columns = [batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(_set_ids(tokens, counts)[kept])]
-            if with_tokens:
-                offsets = np.concatenate([[0], np.cumsum(counts[kept])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=["tab", "id", "set", "tokens"][: len(columns)])
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int32)))], names=["tab", "set", "tokens"])
 
     return run
 
@@ -170,18 +190,19 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, shingle: int = 5, l
     texts = records.where("text <> ''").select("tab", "id", "text")
     chunks = texts.mapInArrow(_sketch(shingle, least_words), "chunk int, counters binary").groupBy("chunk").applyInPandas(_common_bits, "chunk int, bits binary").orderBy("chunk").collect()
     bits = b"".join(bytes(r["bits"]) for r in chunks) or bytes(1 << SKETCH_BITS >> 3)
-    # paths end on average after two tokens; deeper ones of a pair fare no worse than this depth says
-    runs = math.ceil(math.log(1 - recall) / math.log(missed_by_a_run(threshold, branching, 4)))
-    members = texts.mapInArrow(_sets(shingle, least_words, False), f"tab string, id {kind}, set long").distinct()
-    leaves = texts.mapInArrow(_leaves(shingle, least_words, runs, branching, spark.sparkContext.broadcast(bits)), "tab string, path long, set long, n int").distinct()
-    left, right = leaves.select("tab", "path", F.col("set").alias("a"), F.col("n").alias("na")), leaves.select("tab", "path", F.col("set").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, ["tab", "path"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    pairs = materialise(met.select("tab", "a", "b").distinct())
+    runs = math.ceil(math.log(1 - recall) / math.log(missed_by_a_run(threshold, branching, MAX_DEPTH)))
+    shared_bits = spark.sparkContext.broadcast(bits)
+    found = materialise(texts.mapInArrow(_records(shingle, least_words, runs, branching, shared_bits), f"tab string, id {kind}, set long, n int, leaves array<long>"))
+    members = found.select("tab", "id", "set").distinct()
+    leaves = found.select("tab", "set", "n", F.explode("leaves").alias("path")).repartition("path").distinct()  # one shuffle for folding equal sets and for both sides of the join
+    left, right = leaves.select("tab", "path", F.col("set").alias("a"), F.col("n").alias("na")), leaves.select("path", F.col("set").alias("b"), F.col("n").alias("nb"))
+    met = left.join(right, "path").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    often = met.groupBy("tab", "a", "b").agg(F.count("*").alias("times"), F.max(F.col("path").bitwiseAND(1)).alias("deep"))
+    # the first split is wide enough for a pair at the threshold to meet twice
+    pairs = materialise(often.where("times > 1 or deep = 1").select("tab", "a", "b"))
     wanted = pairs.select("tab", F.explode(F.array("a", "b")).alias("set")).distinct()
-    tokens = (
-        texts.mapInArrow(_sets(shingle, least_words, True), f"tab string, id {kind}, set long, tokens array<int>")
-        .join(wanted, ["tab", "set"], "left_semi").groupBy("tab", "set").agg(F.any_value("tokens").alias("tokens"))
-    )
+    first = found.select("tab", "id", "set").join(wanted, ["tab", "set"]).groupBy("tab", "set").agg(F.min("id").alias("id"))
+    tokens = texts.join(first, ["tab", "id"]).dropDuplicates(["tab", "set"]).select("tab", "set", "text").mapInArrow(_tokens(shingle, least_words), "tab string, set long, tokens array<int>")
     tokens = materialise(tokens)
     both = pairs.join(tokens.select("tab", F.col("set").alias("a"), F.col("tokens").alias("ta")), ["tab", "a"]).join(tokens.select("tab", F.col("set").alias("b"), F.col("tokens").alias("tb")), ["tab", "b"])
     shared = F.size(F.array_intersect("ta", "tb"))
@@ -192,7 +213,6 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, shingle: int = 5, l
 def similar_pairs(records: DataFrame, **options) -> DataFrame:
     """(tab, id_a, id_b): all pairs of similar records, the smaller id first; equal texts too."""
     members, similar = similar_sets(records, **options)
-    members = materialise(members)
     x, y = members.select("tab", F.col("id").alias("x"), F.col("set").alias("a")), members.select("tab", F.col("id").alias("y"), F.col("set").alias("b"))
     across = similar.select("tab", "a", "b").join(x, ["tab", "a"]).join(y, ["tab", "b"])
     within = x.join(y.withColumnRenamed("b", "a"), ["tab", "a"])
@@ -200,18 +220,18 @@ def similar_pairs(records: DataFrame, **options) -> DataFrame:
     return pairs.select("tab", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, sections = table(spark, sf_dir, "research_pages"), table(spark, sf_dir, "research_sections")
     return pages.select(F.lit("research_pages").alias("tab"), "id", "text").unionByName(sections.select(F.lit("research_sections").alias("tab"), "id", F.col("content").alias("text")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(_records(spark, sf_dir), threshold=0.7, shingle=3, least_words=40)
+    return similar_pairs(_tables(spark, sf_dir), threshold=0.7, shingle=3, least_words=40)
 
 
 def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each record its class of equal sets and the links of that class to others, at five words and 0.8."""
-    members, similar = similar_sets(_records(spark, sf_dir))
+    members, similar = similar_sets(_tables(spark, sf_dir))
     links = similar.select("tab", F.explode(F.array("a", "b")).alias("set")).groupBy("tab", "set").agg(F.count("*").alias("links"))
     return members.join(links, ["tab", "set"], "left").select("tab", "id", F.col("set").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-NAMES = ("tokenizer", "leakage", "spans", "pii", "near_duplicates", "listings")
+NAMES = ("tokenizer", "leakage", "spans", "pii", "near_duplicates", "listings", "boilerplate", "residue", "truncation")
 MODULES = tuple(import_module(f"lodestone.llm.{n}") for n in NAMES)
 
 
