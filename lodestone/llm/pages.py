@@ -38,14 +38,14 @@ PROMOTION = re.compile(
     r"^(?:Your [\w-]+ [\w-]+ partner for|\d+ .* are looking at .* right now$|.* deals, \d+ stores, one |[\w'-]+ – [\w-]+ made [\w-]+$|Now open in |This month only:|Ask our \d+|Member prices for|Win a .*see rules$|([\w-]+) [\w-]+\. \1 [\w-]+\. [\w-]+\.$)"
 )
 ITEM = re.compile(r"^(?:[-*•→]\s+)?[A-ZÀ-Þ][\w'-]+ [A-Z][\w'-]+ \d{3,4}(?:\s+(?:review|–\s+[\w-]+|(?:[A-Z]{3} ?|R\$ ?|CA\$|A\$|S\$|[$€£¥₹])[\d.,]+))?$")
-TITLE = re.compile(r"^(?:Is the )?[A-ZÀ-Þ][\w'-]+ [A-Z][\w'-]+ \d{3,4}\b.*(?:review|what changed|price history|offers|against its rivals|worth it\?|– [\w'-]+)")
+TITLE = re.compile(r"^Updated in [A-Z]|^(?:Is the )?[A-ZÀ-Þ][\w'-]+ [A-Z][\w'-]+ \d{3,4}\b.*(?:review|what changed|price history|offers|against its rivals|worth it\?|– [\w'-]+)")
 LABEL = re.compile(r"^(?:[-*•] )?[A-ZÀ-Þ][\w äöüéñç'-]{2,16}: \S")
 BULLET = re.compile(r"^\s*[-*•→]\s+")
 LINKS = re.compile(r"\[[^\]]*\]\([^)]*\)")
 TRAIL = re.compile(r"\s[/>»·|]\s")
 #: Wording of error pages, script notices and loading notes; such lines are residue, not furniture.
 NOTICE = re.compile(
-    r"(?i)java ?script|requires scripts|noscript|loading(?:,|…|\.\.\.)|could not be found|not found|does not exist|nicht gefunden|introuvable|no encontrad|não encontrad|見つかりません|bad gateway|gateway time|internal server error|service (?:temporarily )?unavailable"
+    r"(?i)java ?script|requires scripts|support scripts|noscript|loading(?:,|…|\.\.\.)|could not be found|not found|does not exist|nicht gefunden|introuvable|no encontrad|não encontrad|見つかりません|bad gateway|gateway time|internal server error|service (?:temporarily )?unavailable"
     r"|access denied|do not have permission|too many requests|not a robot|complete the puzzle|captcha|request blocked|session has expired|sign in again|something went wrong|no longer available or|planned maintenance|traceback|keyerror|typeerror|file \"[^\"]+\", line"
     r"|database connection failed|mysql_query|fatal error|warning: \w+\(|^proxy/\d|^\d{3}$|^error \d{3}|code \d{3}$"
 )
@@ -56,7 +56,7 @@ PLACEHOLDER = re.compile(
 )
 #: Wording of filler text, and the words of the usual pseudo-Latin.
 FILLER = re.compile(
-    r"(?i)\blorem ipsum dolor|dummy (?:content|text) for|\bTODO: |^sample text\.|sample text\. click|\basdf asdf|\bxxx xxx|\b(?:name|text|message|title|description|content) goes here|blindtext|texte provisoire|texto (?:provis|de ejemplo|de relleno)"
+    r"(?i)\blorem ipsum dolor|dummy (?:content|text) for|\bTODO: |^sample text\.|sample text\. click|\basdf asdf|\bxxx xxx|\b(?:name|text|message|title|description|content|headline|copy) goes here|add a short description of|blindtext|texte provisoire|texto (?:provis|de ejemplo|de relleno)"
     r"|\(placeholder\)|replaced before launch|^coming soon: text|click to edit this|placeholder text", re.M
 )
 PSEUDO_LATIN = frozenset(
@@ -71,6 +71,14 @@ NAMES = (
 _SEEN: dict[str, tuple] = {}
 
 
+def is_residue(line: str) -> bool:
+    """Whether a line holds an unfilled placeholder or filler."""
+    if any(line[m.start() - 1 : m.start()] != "`" for m in PLACEHOLDER.finditer(line)) or FILLER.search(line):
+        return True
+    words = re.findall(r"[^\W\d_]+", line.lower())
+    return len(words) >= 5 and sum(w in PSEUDO_LATIN for w in words) >= 0.5 * len(words)
+
+
 def own_features(line: str) -> tuple:
     """The first 22 of NAMES for a non-blank line."""
     if (kept := _SEEN.get(line)) is not None:
@@ -97,7 +105,7 @@ def own_features(line: str) -> tuple:
     own = (
         n, len(s), len(re.findall(r"[.!?。](?:\s|$)", s)), *(float(shape == k) for k in SHAPES), navigation, len(TRAIL.findall(s)) if brief else 0, links,
         float(brief and bool(WORDING.search(s))), float(brief and bool(RELATED.match(s))), float(brief and bool(PROMOTION.match(s))), float(brief and bool(ITEM.match(s))), float(brief and bool(TITLE.match(s))),
-        float(brief and bool(LABEL.match(s))), sum(c.isdigit() for c in s) / len(s) if brief else 0.0, sum(w[0].isupper() for w in words) / n, float(brief and bool(NOTICE.search(s))),
+        float(brief and bool(LABEL.match(s))), sum(c.isdigit() for c in s) / len(s) if brief else 0.0, sum(w[0].isupper() for w in words) / n, float(brief and (bool(NOTICE.search(s)) or n <= 14 and is_residue(s))),
     )
     if brief:
         if len(_SEEN) > 200_000:
@@ -169,19 +177,13 @@ def page_nodes(text: str) -> tuple[list[int], list[str], np.ndarray, list[int]]:
 _COL = {k: n for n, k in enumerate(NAMES)}
 
 
-def is_residue(line: str) -> bool:
-    """Whether a line holds an unfilled placeholder or filler."""
-    if any(line[m.start() - 1 : m.start()] != "`" for m in PLACEHOLDER.finditer(line)) or FILLER.search(line):
-        return True
-    words = re.findall(r"[^\W\d_]+", line.lower())
-    return len(words) >= 5 and sum(w in PSEUDO_LATIN for w in words) >= 0.5 * len(words)
-
-
 def trusted_label(line: str, f: np.ndarray) -> int:
     """1: surely furniture, 0: surely body, -1: not sure; the labels that the classifier learns from."""
     v = lambda k: f[_COL[k]]
     words = v("words")
-    if v("notice") and not v("wording") or v("words") <= 14 and is_residue(line) or line.startswith("Updated in "):
+    if v("separators") and line.split()[0].lower() in NAVIGATION:
+        return 1
+    if v("notice") and not v("wording"):
         return 0
     if v("related") or (v("links") >= 1 and v("navigation") >= 0.6) or (v("navigation") >= 0.6 and words <= 14):
         return 1
@@ -191,8 +193,6 @@ def trusted_label(line: str, f: np.ndarray) -> int:
         return 1
     if v("in_related") and (v("item") or v("bullet")):
         return 1
-    if v("separators") and line.split()[0].lower() in NAVIGATION:
-        return 1
     if v("sentence") or v("table") or v("heading") or v("long") or v("label"):
         return 0
     if v("bullet") and words >= 8:

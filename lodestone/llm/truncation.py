@@ -26,6 +26,7 @@ FDR = 0.001
 NEIGHBOURS, TIMES = 40, 4.0
 #: Marks of a cut at the end of a text.
 MARK = re.compile(r"(?i)(?:\.\.\.|…|\[(?:\.\.\.|…)\]|\(cont(?:inued|\.|d)?\)?|>+ ?more|\[(?:truncated|cut|more)\]|\(truncated\)|�|\*\*|\[\+\d+ chars\])\s*$")
+UNSPACED = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]{4}")
 ENDS = re.compile(r"[.!?。:;][\"'”’»)\]]*$")
 
 
@@ -54,7 +55,7 @@ def tail_of(text: str) -> str:
         return "item"
     if re.match(r"^[A-ZÀ-Þ][\w äöüéñç'-]{2,16}: \S", last):
         return "label"
-    return "open" if len(words) >= 2 or last.endswith(",") else "closed"
+    return "open" if len(words) >= 2 or last.endswith(",") or UNSPACED.search(last) else "closed"
 
 
 def _tails(texts: pd.Series) -> pd.Series:
