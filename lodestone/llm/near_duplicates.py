@@ -73,7 +73,8 @@ def shingle_sets(texts: list[str | None], shingle: int, least_words: int, known:
         value = _mix(value[:-1] * _U(0x9E3779B97F4A7C15) + ids[k:])
     owner = np.repeat(np.arange(len(kept), dtype=np.uint64), sizes[kept])
     within = owner[: len(value)] == owner[len(ids) - len(value) :]
-    keyed = np.unique((owner[: len(value)][within] << _U(32)) | (_mix(value[within]) >> _U(32)))
+    keyed = np.sort((owner[: len(value)][within] << _U(32)) | (_mix(value[within]) >> _U(32)))
+    keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
     counts[kept] = np.bincount((keyed >> _U(32)).astype(np.int64), minlength=len(kept))
     return (keyed & _U(0xFFFFFFFF)).astype(np.uint32), counts
 
@@ -109,9 +110,11 @@ def chosen_paths(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray, run
     rare = np.bincount(owner, weights=~common, minlength=len(counts))
     wide = _mix(tokens.astype(np.uint64) + _U(0x51ED270B))
     start = lambda run, record: np.full(len(record), _mix(np.array([run + 1], dtype=np.uint64))[0])
-    live = np.flatnonzero(counts)
-    at, record, path = _follow(wide, begins, counts, live, start(-1, live), _limits(FIRST_TOKENS / np.maximum(rare, RARE_SHARE * size)))
-    owners, leaves = [record[~common[at]]], [path[~common[at]] & ~_U(1)]
+    first = _limits(FIRST_TOKENS / np.maximum(rare, RARE_SHARE * size))
+    few = np.flatnonzero(~common)
+    seed = _mix(np.array([0], dtype=np.uint64) - _U(1))[0]
+    few = few[(_mix(wide[few] ^ seed) >> _U(1)) < first[owner[few]]]
+    owners, leaves = [owner[few]], [_mix(seed * _U(0x9E3779B97F4A7C15) + wide[few]) & ~_U(1)]
     deep, limit = np.flatnonzero((counts > 0) & (rare < RARE_SHARE * size)), _limits(branching / size)
     for run in range(runs if len(deep) else 0):
         record, path = deep, start(run, deep)
