@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestone.plans import problem4
+from lodestone.plans import observations, problem4, stores, texts
 
-MODULES = (problem4,)
+MODULES = (stores, observations, texts, problem4)
 
 
 def queries() -> dict[str, Callable]:
