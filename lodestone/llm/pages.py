@@ -63,6 +63,18 @@ PSEUDO_LATIN = frozenset(
     """lorem ipsum dolor sit amet nulla velita odio ante molli mollis dapib dapibus risus pharet pharetra nibh mattis tortor faucib faucibus vitae urna neque gravid gravida tempor sapien iaculis quam blandi blandit magna
     varius congue viverra labore porta consec consectetur cursus sodal sodales justo ornare hendre hendrerit quisque semper rutrum lacinia auris mauris tellus posuere ultric ultrices elit sed do eiusmod incididunt et dolore aliqua adipiscing""".split()
 )
+TOKEN = re.compile(r"[^\W_]+")
+#: A line without any of these words can't match WORDING, or NOTICE, which are slower to search.
+WORDING_KEYS = frozenset(
+    """skip zum aller saltar ir privacy terms sitemap imprint sell impressum datenschutz agb mentions confidentialité cgv aviso privacidad privacidade condiciones termos rights rechte tous todos copyright cookie cookies traceurs tracking
+    choices continue got accept akzeptieren ablehnen accepter aceptar aceitar acceptez aceptas aceita stimmen entendido allow privée preferences policy powered back nach haut volver voltar print country vat sign newsletter lettre boletín
+    boletim subscribe follow download chat delivery click log register registrieren connexion inscription iniciar entrar advertisement anzeige publicité publicidad publicidade sponsored share teilen partager compartir compartilhar
+    comment helpful search trading registered gift""".split()
+)
+NOTICE_KEYS = frozenset(
+    """javascript java scripts script noscript loading found exist gefunden introuvable encontrado encontrada gateway internal unavailable denied permission requests robot puzzle captcha blocked expired again wrong longer maintenance
+    traceback keyerror typeerror file database mysql query fatal warning proxy error code""".split()
+)
 SHAPES = {"heading": 0, "subheading": 1, "bullet": 2, "table": 3, "sentence": 4, "short": 5, "long": 6}
 NAMES = (
     "words", "chars", "sentences", "heading", "subheading", "bullet", "table", "sentence", "short", "long", "navigation", "separators", "links", "wording", "related", "promotion", "item", "title", "label", "digits", "capitals", "notice",
@@ -99,13 +111,19 @@ def own_features(line: str) -> tuple:
     else:
         shape = "short" if n <= 14 else "long"
     links = len(LINKS.findall(s)) if "](" in s else 0
-    plain = LINKS.sub(lambda m: m.group(0)[1:].split("]")[0], s) if links else s
-    parts = [p for p in re.split(r"[\s|·/>»,*-]+", plain.lower()) if p]
-    navigation = sum(p in NAVIGATION for p in parts) / len(parts) if parts and brief or links else 0.0
+    wording = notice = False
+    navigation = 0.0
+    if brief or links:
+        plain = LINKS.sub(lambda m: m.group(0)[1:].split("]")[0], s) if links else s
+        parts = TOKEN.findall(plain.lower())
+        navigation = sum(p in NAVIGATION for p in parts) / len(parts) if parts else 0.0
+        if brief:
+            wording = (s[0] in "©[" or not WORDING_KEYS.isdisjoint(parts)) and bool(WORDING.search(s))
+            notice = (n <= 3 or not NOTICE_KEYS.isdisjoint(parts) or not s.isascii()) and bool(NOTICE.search(s)) or n <= 14 and is_residue(s)
     own = (
-        n, len(s), len(re.findall(r"[.!?。](?:\s|$)", s)), *(float(shape == k) for k in SHAPES), navigation, len(TRAIL.findall(s)) if brief else 0, links,
-        float(brief and bool(WORDING.search(s))), float(brief and bool(RELATED.match(s))), float(brief and bool(PROMOTION.match(s))), float(brief and bool(ITEM.match(s))), float(brief and bool(TITLE.match(s))),
-        float(brief and bool(LABEL.match(s))), sum(c.isdigit() for c in s) / len(s) if brief else 0.0, sum(w[0].isupper() for w in words) / n, float(brief and (bool(NOTICE.search(s)) or n <= 14 and is_residue(s))),
+        n, len(s), s.count(". ") + s.count("! ") + s.count("? ") + ends + s.count("。"), *(float(shape == k) for k in SHAPES), navigation, len(TRAIL.findall(s)) if brief else 0, links,
+        float(wording), float(brief and bool(RELATED.match(s))), float(brief and bool(PROMOTION.match(s))), float(brief and bool(ITEM.match(s))), float(brief and bool(TITLE.match(s))),
+        float(brief and bool(LABEL.match(s))), sum(c.isdigit() for c in s) / len(s) if len(s) <= 80 else 0.0, sum(w[0].isupper() for w in words[:20]) / min(n, 20), float(notice),
     )
     if brief:
         if len(_SEEN) > 200_000:
