@@ -107,11 +107,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 13, key: str = "d
         if len(block) == BLOCK_WINDOWS:
             blocks.append(block)
             block = []
-    blocks.append(block)
-    out = None
+    if block:
+        blocks.append(block)
+    out = spark.createDataFrame([], schema) if not blocks else None
     for part in blocks:
-        if not part and len(blocks) > 1:
-            continue
         hits = scanned.mapInPandas(scan(spark.sparkContext.broadcast(pickle.dumps(part))), schema)
         out = hits if out is None else out.unionByName(hits)
     return out
