@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import rounded
+from lodestone.operators.limits import admitted
 from lodestone.operators.series import last_per_hour, last_two_days, politeness, top_k, trailing_ends
 from lodestone.session import table
 from lodestone.streaming import events as streams
@@ -154,4 +155,24 @@ def stream_first_seen(spark, d):
 
 SQL["stream_first_seen"] = "SELECT DISTINCT run_id, source_url, content_hash FROM raw_evidence"
 
-QUERIES = {name: globals()[name] for name in SQL}
+
+
+def rate_limit(spark, d):
+    """Which events of each user pass a limit of two in six hours, refused ones not counted; a fold, so without SQL."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(C("ts").cast("timestamp")).alias("us"))
+    return admitted(e, "user_id", "us", "event_id", 2, 6 * 3_600_000_000)
+
+
+def null_profile(spark, d):
+    """Nulls and empty strings of every text column of offers, one row a column (unpivoted)."""
+    o = table(spark, d, "offers")
+    names = [n for n, t in o.dtypes if t == "string"]
+    counts = o.agg(*[F.count_if(C(n).isNull()).alias(f"n_{n}") for n in names], *[F.count_if(C(n) == "").alias(f"e_{n}") for n in names])
+    pairs = ", ".join(f"'{n}', n_{n}, e_{n}" for n in names)
+    return counts.select(F.expr(f"stack({len(names)}, {pairs}) as (field, nulls, empties)"))
+
+
+_NAMES = "product_name brand currency region url seller availability listing_title competitor canonical_url exchange_rate_timestamp offer_key run_id canonical_product_id canonical_product_name".split()
+SQL["null_profile"] = " UNION ALL ".join(f"SELECT '{n}' AS field, count(*) - count({n}) AS nulls, count(*) FILTER ({n} = '') AS empties FROM offers" for n in _NAMES)
+
+QUERIES = {"rate_limit": rate_limit} | {name: globals()[name] for name in SQL}

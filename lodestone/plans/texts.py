@@ -203,4 +203,52 @@ def stated_amounts(spark, d):
 
 SQL["stated_amounts"] = r"""SELECT id FROM offers WHERE price IS NOT NULL AND list_contains(list_transform(regexp_extract_all(coalesce(regexp_replace(listing_title, '(\d+\.\d{2})\d', 'x', 'g'), ''), '\d+\.\d{2}'), lambda x: CAST(x AS DECIMAL(18,2))), CAST(price AS DECIMAL(18,2)))"""
 
+
+
+def amounts_in_sections(spark, d):
+    """Amounts with a currency sign in every section: how many, and how many different."""
+    found = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"([$£€₹¥] ?\d[\d,]*(?:\.\d+)?)"), F.lit(1))
+    return table(spark, d, "research_sections").select("id", F.size(found).cast("long").alias("amounts"), F.size(F.array_distinct(found)).cast("long").alias("distinct_amounts"))
+
+
+SQL["amounts_in_sections"] = r"""SELECT id, CAST(len(a) AS BIGINT) AS amounts, CAST(len(list_distinct(a)) AS BIGINT) AS distinct_amounts FROM (SELECT id, regexp_extract_all(coalesce(content, ''), '[$£€₹¥] ?\d[\d,]*(?:\.\d+)?') AS a FROM research_sections)"""
+
+
+def statement_roundtrip(spark, d):
+    """Offers written as statements and parsed back; the rows that come back as they were."""
+    o = table(spark, d, "offers").where("price is not null and product_name is not null and region is not null and currency rlike '^[A-Z]{3}$'")
+    said = o.select("id", "region", "currency", C("price").cast("decimal(18,2)").alias("amount"), F.concat("product_name", F.lit(" is listed at "), "currency", F.lit(" "), C("price").cast("decimal(18,2)").cast("string"), F.lit(" in "), "region").alias("s"))
+    back = lambda k: F.regexp_extract("s", r"is listed at ([A-Z]{3}) ([\d.]+) in (\w+)$", k)
+    return said.where((back(1) == C("currency")) & (back(2).try_cast("decimal(18,2)") == C("amount")) & (back(3) == C("region"))).select("id", F.length("s").cast("long").alias("n"))
+
+
+SQL["statement_roundtrip"] = """SELECT id, CAST(length(product_name || ' is listed at ' || currency || ' ' || CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) || ' in ' || region) AS BIGINT) AS n FROM offers
+WHERE price IS NOT NULL AND product_name IS NOT NULL AND region IS NOT NULL AND regexp_matches(currency, '^[A-Z]{3}$')"""
+
+
+def markdown_text(spark, d):
+    """Characters of captures without heading marks, bullets, links and emphasis."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"\[([^\]]*)\]\([^)]*\)", "$1"), r"(?m)^[ \t]*(?:#{1,6}|[-*•→])[ \t]+", ""), r"[*_`]", "")
+    return table(spark, d, "raw_evidence").where("content is not null").select("id", F.length(text).cast("long").alias("chars"), F.length("content").cast("long").alias("raw_chars"))
+
+
+SQL["markdown_text"] = r"""SELECT id, CAST(length(regexp_replace(regexp_replace(regexp_replace(content, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^[ \t]*(?:#{1,6}|[-*•→])[ \t]+', '', 'g'), '[*_`]', '', 'g')) AS BIGINT) AS chars,
+CAST(length(content) AS BIGINT) AS raw_chars FROM raw_evidence WHERE content IS NOT NULL"""
+
+#: Path segments that name a page type; the longest one in a path decides.
+PAGE_TYPES = {"pricing": "pricing", "product": "product", "review": "review", "guide": "docs", "compare": "comparison", "blog": "article", "news": "article", "about": "company", "privacy": "legal"}
+
+
+def page_types(spark, d):
+    """The page type that a path names, beside the recorded one."""
+    p = table(spark, d, "research_pages").select("page_type", F.explode(F.split(F.lower(F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1)), "/")).alias("segment"), "id")
+    named = F.create_map(*[F.lit(x) for pair in PAGE_TYPES.items() for x in pair])[C("segment")]
+    best = p.groupBy("id", "page_type").agg(F.max_by(named, F.when(named.isNotNull(), F.struct(F.length("segment"), C("segment")))).alias("by_path"))
+    return best.groupBy("page_type", F.coalesce("by_path", F.lit("other")).alias("by_path")).agg(F.count("*").alias("pages"))
+
+
+SQL["page_types"] = r"""SELECT page_type, coalesce(by_path, 'other') AS by_path, count(*) AS pages FROM (SELECT id, page_type, arg_max(t, (length(segment), segment)) AS by_path FROM
+(SELECT id, page_type, segment, v.t FROM (SELECT id, page_type, unnest(string_split(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '/')) AS segment FROM research_pages) LEFT JOIN (VALUES """ + ",".join(f"('{k}','{v}')" for k, v in PAGE_TYPES.items()) + """) v(k, t) ON segment = k)
+GROUP BY id, page_type) GROUP BY 1, 2"""
+
 QUERIES = {name: globals()[name] for name in SQL}

@@ -99,3 +99,19 @@ def test_units_on_a_small_market(spark):
     assert len(got) == 66 and got[100].unit == "minor" and round(got[100].amount, 2) == 51.0
     bad = {i for i, r in got.items() if r.bad_currency or r.bad_price or r.bad_rate or r.bad_usd}
     assert bad == {100, 101, 102, 103, 105}
+
+
+def test_admission_equals_a_fold(spark):
+    import random
+
+    from lodestone.operators.limits import admitted
+
+    r = random.Random(4)
+    data = [(f"u{r.randrange(3)}", n, r.randrange(400)) for n in range(300)] + [(None, 900, 1), ("u0", 901, None)]
+    got = {x.n: x.admitted for x in admitted(spark.createDataFrame(data, "u string, n int, t int"), "u", "t", "n", 3, 20).collect()}
+    passed = {}
+    for u, n, t in sorted((x for x in data if x[0] and x[2] is not None), key=lambda x: (x[0], x[2], x[1])):
+        mine = [p for p in passed.get(u, []) if p > t - 20]
+        assert got[n] == (len(mine) < 3)
+        passed[u] = mine + [t] * got[n]
+    assert len(got) == 302 and not got[900] and not got[901]
