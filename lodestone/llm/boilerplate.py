@@ -92,14 +92,21 @@ def fit_trees(pages: DataFrame) -> Trees | None:
     return Trees([(w, _flatten(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True)])
 
 
-def furniture_lines(text: str, trees: Trees | None) -> list[int]:
-    """Numbers of the non-blank lines outside the body."""
-    numbers, lines, features, runs = page_nodes(text)
-    if not lines:
-        return []
-    odds = trees.log_odds(features) if trees else np.array([1.0 if trusted_label(x, f) == 1 else -1.0 for x, f in zip(lines, features, strict=True)])
-    total = np.bincount(runs, weights=odds)
-    return [n for n, r in zip(numbers, runs, strict=True) if total[r] > 0]
+def furniture_lines(texts: list[str | None], trees: Trees | None, together: int = 400) -> Iterator[list[int]]:
+    """For each text the numbers of its non-blank lines outside the body; the nodes of many texts are scored at once."""
+    for lo in range(0, len(texts), together):
+        nodes = [page_nodes(t or "") for t in texts[lo : lo + together]]
+        sizes = [len(n[0]) for n in nodes]
+        features = np.concatenate([n[2] for n in nodes])
+        if trees:
+            odds = trees.log_odds(features)
+        else:
+            odds = np.array([1.0 if trusted_label(x, f) == 1 else -1.0 for x, f in zip([x for n in nodes for x in n[1]], features, strict=True)])
+        at = 0
+        for (numbers, _, _, runs), size in zip(nodes, sizes, strict=True):
+            total = np.bincount(runs, weights=odds[at : at + size]) if size else ()
+            yield [n for n, r in zip(numbers, runs, strict=True) if total[r] > 0]
+            at += size
 
 
 def furniture(pages: DataFrame) -> DataFrame:
@@ -109,7 +116,8 @@ def furniture(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = shared.value
         for batch in batches:
-            found = [(tab, i, n) for tab, i, text in zip(batch["tab"], batch["id"], batch["text"], strict=True) for n in furniture_lines(text, trees)]
+            outside = furniture_lines(batch["text"].tolist(), trees)
+            found = [(tab, i, n) for tab, i, numbers in zip(batch["tab"], batch["id"], outside, strict=True) for n in numbers]
             yield pd.DataFrame(found, columns=["tab", "id", "line_no"])
 
     kind = pages.schema["id"].dataType.simpleString()
@@ -122,8 +130,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def strip(texts: pd.Series) -> pd.Series:
         out = []
-        for text in texts:
-            drop = set(furniture_lines(text, shared.value)) if text else ()
+        values = [t if isinstance(t, str) else None for t in texts]
+        for text, numbers in zip(values, furniture_lines(values, shared.value), strict=True):
+            drop = set(numbers)
             out.append("\n".join(x for n, x in enumerate(text.split("\n")) if n not in drop).strip("\n") if drop else text)
         return pd.Series(out, dtype=object)
 
