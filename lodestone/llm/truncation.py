@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.pages import TITLE, page_nodes, page_texts, trusted_label
+from lodestone.llm.pages import NAMES, TITLE, own_features, page_nodes, page_texts, trusted_label
 from lodestone.llm.residue import residue_rows, with_errors
 from lodestone.session import materialise
 
@@ -37,7 +37,7 @@ def tail_of(text: str) -> str:
         return "closed"
     last = t[t.rfind("\n") + 1 :].strip()
     if MARK.search(last) and not re.match(r"(?i)loading\b", last):
-        return "marked"
+        return "closed" if len(last.split()) <= 6 and own_features(last)[NAMES.index("wording")] else "marked"  # a search box names itself with dots
     if last.startswith(("|", "#")):
         return "closed"
     bullet = re.match(r"^[-*•→]\s", last)
