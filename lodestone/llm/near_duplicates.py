@@ -169,7 +169,7 @@ def _records(shingle: int, least_words: int, runs: int, branching: float, shared
                 leaves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaf[order].view(np.int64)))
                 took = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(took), part.column(1).take(took), pa.array(_set_ids(tokens, counts)[kept]), pa.array(counts[kept].astype(np.int32)), leaves], names=["tab", "id", "set", "n", "leaves"]
+                    [part.column(0).take(took), part.column(1).take(took), pa.array(_mix(_set_ids(tokens, counts).view(np.uint64) ^ tabs)[kept].view(np.int64)), pa.array(counts[kept].astype(np.int32)), leaves], names=["tab", "id", "set", "n", "leaves"]
                 )
 
     return run
@@ -179,15 +179,15 @@ def _tokens(shingle: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            tokens, counts = shingle_sets(batch.column(2).to_pylist(), shingle, least_words, known)
+            tokens, counts = shingle_sets(batch.column(1).to_pylist(), shingle, least_words, known)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int32)))], names=["tab", "set", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int32)))], names=["set", "tokens"])
 
     return run
 
 
 def similar_sets(records: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 1, recall: float = RECALL, branching: float = BRANCHING) -> tuple[DataFrame, DataFrame]:
-    """(tab, id, set) of every record, and (tab, a, b, similarity) of distinct similar sets; records has tab, id and text."""
+    """(tab, id, set) of every record, and (a, b, similarity) of distinct similar sets of one table; records has tab, id and text."""
     spark = records.sparkSession
     kind = records.schema["id"].dataType.simpleString()
     texts = records.where("text <> ''").select("tab", "id", "text")
@@ -197,19 +197,20 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, shingle: int = 5, l
     shared_bits = spark.sparkContext.broadcast(bits)
     found = materialise(texts.mapInArrow(_records(shingle, least_words, runs, branching, shared_bits), f"tab string, id {kind}, set long, n int, leaves array<long>"))
     members = found.select("tab", "id", "set").distinct()
-    leaves = found.select("tab", "set", "n", F.explode("leaves").alias("path")).repartition("path").distinct()  # one shuffle for folding equal sets and for both sides of the join
-    left, right = leaves.select("tab", "path", F.col("set").alias("a"), F.col("n").alias("na")), leaves.select("path", F.col("set").alias("b"), F.col("n").alias("nb"))
+    # the set's hash holds the table's; equal sets are folded before anything is spread by path
+    classes = found.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("leaves").alias("leaves"))
+    leaves = classes.select("set", "n", F.explode("leaves").alias("path")).repartition("path")  # one shuffle for both sides of the join
+    left, right = leaves.select("path", F.col("set").alias("a"), F.col("n").alias("na")), leaves.select("path", F.col("set").alias("b"), F.col("n").alias("nb"))
     met = left.join(right, "path").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    often = met.groupBy("tab", "a", "b").agg(F.count("*").alias("times"), F.max(F.col("path").bitwiseAND(1)).alias("deep"))
+    often = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max(F.col("path").bitwiseAND(1)).alias("deep"))
     # the first split is wide enough for a pair at the threshold to meet twice
-    pairs = materialise(often.where("times > 1 or deep = 1").select("tab", "a", "b"))
-    wanted = pairs.select("tab", F.explode(F.array("a", "b")).alias("set")).distinct()
-    first = found.select("tab", "id", "set").join(wanted, ["tab", "set"]).groupBy("tab", "set").agg(F.min("id").alias("id"))
-    tokens = texts.join(first, ["tab", "id"]).dropDuplicates(["tab", "set"]).select("tab", "set", "text").mapInArrow(_tokens(shingle, least_words), "tab string, set long, tokens array<int>")
-    tokens = materialise(tokens)
-    both = pairs.join(tokens.select("tab", F.col("set").alias("a"), F.col("tokens").alias("ta")), ["tab", "a"]).join(tokens.select("tab", F.col("set").alias("b"), F.col("tokens").alias("tb")), ["tab", "b"])
+    pairs = materialise(often.where("times > 1 or deep = 1").select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    first = found.select("tab", "id", "set").join(wanted, "set").groupBy("set").agg(F.min(F.struct("tab", "id")).alias("r")).select("r.tab", "r.id", "set")
+    tokens = materialise(texts.join(first, ["tab", "id"]).select("set", "text").mapInArrow(_tokens(shingle, least_words), "set long, tokens array<int>").dropDuplicates(["set"]))
+    both = pairs.join(tokens.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    similar = both.select("tab", "a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    similar = both.select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
     return members, similar
 
 
@@ -217,8 +218,8 @@ def similar_pairs(records: DataFrame, **options) -> DataFrame:
     """(tab, id_a, id_b): all pairs of similar records, the smaller id first; equal texts too."""
     members, similar = similar_sets(records, **options)
     x, y = members.select("tab", F.col("id").alias("x"), F.col("set").alias("a")), members.select("tab", F.col("id").alias("y"), F.col("set").alias("b"))
-    across = similar.select("tab", "a", "b").join(x, ["tab", "a"]).join(y, ["tab", "b"])
-    within = x.join(y.withColumnRenamed("b", "a"), ["tab", "a"])
+    across = similar.select("a", "b").join(x, "a").join(y.drop("tab"), "b")
+    within = x.join(y.drop("tab").withColumnRenamed("b", "a"), "a")
     pairs = across.select("tab", "x", "y").unionByName(within.select("tab", "x", "y")).where("x <> y")
     return pairs.select("tab", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
@@ -235,8 +236,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each record its class of equal sets and the links of that class to others, at five words and 0.8."""
     members, similar = similar_sets(_tables(spark, sf_dir))
-    links = similar.select("tab", F.explode(F.array("a", "b")).alias("set")).groupBy("tab", "set").agg(F.count("*").alias("links"))
-    return members.join(links, ["tab", "set"], "left").select("tab", "id", F.col("set").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    links = similar.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("links"))
+    return members.join(links, "set", "left").select("tab", "id", F.col("set").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_links": p5_links}
