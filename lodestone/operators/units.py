@@ -1,7 +1,7 @@
 """Problem 4: the same quantity in different units; every offer in whole units of an ISO currency and in US dollars.
 
-A random forest predicts how an offer's price is recorded (whole units, minor units, thousands, ten thousands, or another
-currency than the one named) from its magnitude, source (region, currency), category and neighbours: the other rows of
+A random forest predicts how an offer's price is recorded (whole units, minor units, thousands, ten or hundred thousands, or
+another currency than the one named) from its magnitude, source (region, currency), category and neighbours: the other rows of
 the listing and of the product.  Its labels are the offers whose title spells the amount out; at most ``TRAIN_ROWS`` of
 them for each class are learned from, a quarter of which calibrate the confidence (isotonic).  Confident predictions are
 converted, the rest is routed to review.  A title that spells the amount out is then read as it stands.
@@ -29,9 +29,9 @@ TRAIN_ROWS = 8_000
 TREES, DEPTH = 24, 9
 #: Calibrated confidence from which a prediction is converted.
 CONFIDENT = 0.8
-UNITS = ("whole", "minor", "thousand", "ten_thousand", "other_currency")
+UNITS = ("whole", "minor", "thousand", "ten_thousand", "other_currency", "hundred_thousand")
 #: What one recorded unit is worth in whole units.
-SCALE = (1.0, 0.01, 1_000.0, 10_000.0, 1.0)
+SCALE = (1.0, 0.01, 1_000.0, 10_000.0, 1.0, 100_000.0)
 #: The region's own currency, and names under which a currency is recorded.
 REGION_CURRENCY = {"US": "USD", "EU": "EUR", "UK": "GBP", "IN": "INR", "JP": "JPY", "CA": "CAD", "AU": "AUD", "SG": "SGD", "BR": "BRL"}
 CURRENCY_NAMES = {
@@ -40,8 +40,8 @@ CURRENCY_NAMES = {
 }
 _CODES = "USD|EUR|GBP|INR|JPY|CAD|AUD|SGD|BRL"
 _SIGNS = r"US\$|CA\$|AU\$|R\$|C\$|A\$|S\$|\$|€|£|¥|￥|₹|Rs\.?"
-BEFORE = rf"(?<![\p{{L}}$])(?<!was )({_SIGNS}|{_CODES}) ?(\d[\d.,]*\d|\d)( ?(?:k|thousand|万)(?!\p{{L}}))?"
-AFTER = rf"(?<![\d.,])(?<!was )(?<!was [$€£¥₹])(\d[\d.,]*\d|\d) ?(k|thousand|万)? ?({_CODES}|円|€|£|₹|cents|pence|centavos|paise|sen)(?!\p{{L}})"
+BEFORE = rf"(?<![\p{{L}}$])(?<!was )({_SIGNS}|{_CODES}) ?(\d[\d.,]*\d|\d)( ?(?:k|thousand|lakh|万)(?!\p{{L}}))?"
+AFTER = rf"(?<![\d.,])(?<!was )(?<!was [$€£¥₹])(\d[\d.,]*\d|\d) ?(k|thousand|lakh|万)? ?({_CODES}|円|€|£|₹|cents|pence|centavos|paise|sen)(?!\p{{L}})"
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
@@ -63,7 +63,7 @@ def title_amount(title: Column) -> tuple[Column, Column]:
     first = number != ""
     scale = F.when(first, F.trim(scale)).otherwise(scale2)
     minor = ~first & sign2.isin("cents", "pence", "centavos", "paise", "sen")
-    factor = F.when(scale.isin("k", "thousand"), F.lit(1000.0)).when(scale == "万", F.lit(10000.0)).when(minor, F.lit(0.01)).otherwise(F.lit(1.0))
+    factor = F.when(scale.isin("k", "thousand"), F.lit(1000.0)).when(scale == "万", F.lit(10000.0)).when(scale == "lakh", F.lit(100000.0)).when(minor, F.lit(0.01)).otherwise(F.lit(1.0))
     amount = _number(F.when(first, number).otherwise(number2), scale != "") * factor
     name = F.when(first, sign).when(~minor, sign2)
     return F.when(first | (number2 != ""), amount), F.coalesce(F.when(name.rlike(f"^({_CODES})$"), name), _lookup(CURRENCY_NAMES, F.lower(name)))
@@ -119,7 +119,7 @@ def labelled(rows: DataFrame) -> DataFrame:
     right = (F.col("t_currency") == F.col("currency")) | F.col("t_currency").isNull()
     label = (
         F.when(_near(ratio, 1.0) & ~right & F.col("rate").isNotNull(), 4.0)
-        .when(_near(ratio, 1.0) & right, 0.0).when(_near(ratio, 100.0), 1.0).when(_near(ratio, 1e-3), 2.0).when(_near(ratio, 1e-4), 3.0)
+        .when(_near(ratio, 1.0) & right, 0.0).when(_near(ratio, 100.0), 1.0).when(_near(ratio, 1e-3), 2.0).when(_near(ratio, 1e-4), 3.0).when(_near(ratio, 1e-5), 5.0)
     )
     return rows.withColumn("label", label)
 

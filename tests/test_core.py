@@ -82,11 +82,11 @@ def test_retrieval(spark):
 
 
 def test_title_amounts(spark):
-    titles = ["X – ₹4,133.18", "X 12,50 EUR", "X, only 9900 cents", "X 4.6465万円", "X 0.87 thousand BRL", "was $9.99", "R$1.335,99 X", "27-inch", None]
+    titles = ["X – ₹4,133.18", "X 12,50 EUR", "X, only 9900 cents", "X 4.6465万円", "X 0.87 thousand BRL", "was $9.99", "R$1.335,99 X", "X 0.5 lakh INR", "27-inch", None]
     df = spark.createDataFrame([(t,) for t in titles], "t string")
     amount, currency = title_amount(F.col("t"))
     got = [(None if r[0] is None else round(r[0], 2), r[1]) for r in df.select(amount, currency).collect()]
-    assert got == [(4133.18, "INR"), (12.5, "EUR"), (99.0, None), (46465.0, "JPY"), (870.0, "BRL"), (None, None), (1335.99, "BRL"), (None, None), (None, None)]
+    assert got == [(4133.18, "INR"), (12.5, "EUR"), (99.0, None), (46465.0, "JPY"), (870.0, "BRL"), (None, None), (1335.99, "BRL"), (50000.0, "INR"), (None, None), (None, None)]
 
 
 def test_units_on_a_small_market(spark):
