@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 from lodestone.session import materialise, table
 
 WORD = re.compile(r"\w+")
-#: Records that may hold a token for it to end a path.
-SMALL_BUCKET = 20
+#: Records that may hold a token for it to end a path, over what other tokens put into its counter.
+SMALL_BUCKET = 6
 #: Counters of the sketch; fixed, so what is broadcast (a bit for each) is 512 KB at any input size.
 SKETCH_BITS = 22
 CHUNKS = 64
 MAX_DEPTH = 6
 BRANCHING = 1.3
 #: Rare tokens chosen in the first split, if at least this share of the record's tokens is rare.
-FIRST_TOKENS, RARE_SHARE = 12, 0.3
+FIRST_TOKENS, RARE_SHARE = 16, 0.3
+#: Buckets of the first split in which a pair must meet; one at a similarity of 0.7 meets in 13 on average.
+MEETINGS = 3
 RECALL = 0.9995
 _U = np.uint64
 
@@ -147,7 +149,8 @@ def _sketch(shingle: int, least_words: int):
 
 def _common_bits(group: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(c, dtype=np.uint8).astype(np.uint32) for c in group["counters"])
-    return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "bits": [np.packbits(total > SMALL_BUCKET).tobytes()]})
+    usual = float(total.mean())
+    return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "bits": [np.packbits(total > SMALL_BUCKET + usual + 3 * usual**0.5).tobytes()]})
 
 
 def _records(shingle: int, least_words: int, runs: int, branching: float, shared):
@@ -203,8 +206,7 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, shingle: int = 5, l
     left, right = leaves.select("path", F.col("set").alias("a"), F.col("n").alias("na")), leaves.select("path", F.col("set").alias("b"), F.col("n").alias("nb"))
     met = left.join(right, "path").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
     often = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max(F.col("path").bitwiseAND(1)).alias("deep"))
-    # the first split is wide enough for a pair at the threshold to meet twice
-    pairs = materialise(often.where("times > 1 or deep = 1").select("a", "b"))
+    pairs = materialise(often.where((F.col("times") >= MEETINGS) | (F.col("deep") == 1)).select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     first = found.select("tab", "id", "set").join(wanted, "set").groupBy("set").agg(F.min(F.struct("tab", "id")).alias("r")).select("r.tab", "r.id", "set")
     tokens = materialise(texts.join(first, ["tab", "id"]).select("set", "text").mapInArrow(_tokens(shingle, least_words), "set long, tokens array<int>").dropDuplicates(["set"]))
