@@ -30,15 +30,15 @@ from lodestone.session import materialise, table
 
 WORD = re.compile(r"\w+")
 #: Records that may hold a token for it to end a path, over what other tokens put into its counter.
-SMALL_BUCKET = 6
+SMALL_BUCKET = 14
 #: Counters of the sketch; fixed, so what is broadcast (a bit for each) is 512 KB at any input size.
 SKETCH_BITS = 22
 CHUNKS = 64
 MAX_DEPTH = 6
 BRANCHING = 1.3
 #: Rare tokens chosen in the first split, if at least this share of the record's tokens is rare.
-FIRST_TOKENS, RARE_SHARE = 16, 0.3
-#: Buckets of the first split in which a pair must meet; one at a similarity of 0.7 meets in 13 on average.
+FIRST_TOKENS, RARE_SHARE = 14, 0.3
+#: Buckets of the first split in which a pair must meet; one at a similarity of 0.7 meets in 11 on average.
 MEETINGS = 3
 RECALL = 0.9995
 _U = np.uint64
