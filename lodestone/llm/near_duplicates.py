@@ -1,12 +1,11 @@
 """Problem 5: records that share most of their content, by a chosen-path join.
 
-A record is the set of its runs of ``shingle`` words, hashed.  A record follows its own branches: from a path it goes on
-with each of its tokens whose hash, seeded by the path, falls under a share of the range, so similar records choose the
-same tokens.  A path ends in a bucket as soon as it holds a token that few records have (counted over all rows in a
-fixed-size sketch), so buckets are small: one split is enough for them, and all runs take it at once, choosing about
-``FIRST_TOKENS`` of a record's rare tokens.  Records of mostly common tokens are split on, up to ``MAX_DEPTH``, in runs
-repeated until the chance to miss a pair at the threshold falls under ``1 - recall``.  Records that meet in a bucket are
-compared exactly.
+A record is the set of its runs of ``shingle`` words, hashed.  In every run it follows the least of its tokens under a
+hash seeded by the path so far, so two records take the same step with the chance of their similarity, whatever their
+tokens are.  A path ends in a bucket as soon as it holds a token that few records have (counted over all rows in a
+fixed-size sketch), or at ``MAX_DEPTH``, so buckets are small.  A record makes as many runs as the worst pair that its
+share of common tokens allows needs to meet at least once with a chance of ``recall``; one meeting is enough for a pair
+to be compared exactly.
 
 Records of equal sets are folded first and only spelled out in the pairs.  Records under ``least_words`` words, null or
 empty texts are in no pair.  Equal rows under one id give one pair.
@@ -34,14 +33,13 @@ SMALL_BUCKET = 14
 #: Counters of the sketch; fixed, so what is broadcast (a bit for each) is 512 KB at any input size.
 SKETCH_BITS = 22
 CHUNKS = 64
-MAX_DEPTH = 6
-BRANCHING = 1.3
-#: Rare tokens chosen in the first split, if at least this share of the record's tokens is rare.
-FIRST_TOKENS, RARE_SHARE = 14, 0.3
-#: Buckets of the first split in which a pair must meet; one at a similarity of 0.7 meets in 11 on average.
-MEETINGS = 3
+MAX_DEPTH = 4
 RECALL = 0.9995
-_U = np.uint64
+#: Steps in which the share of a record's common tokens is told, from 0 to 1.
+SHARES = 50
+#: Longs in the parities of a set, which bound how many tokens two sets differ in.
+PARITIES = 8
+_U, _V = np.uint64, np.uint32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,54 +79,67 @@ def shingle_sets(texts: list[str | None], shingle: int, least_words: int, known:
     return (keyed & _U(0xFFFFFFFF)).astype(np.uint32), counts
 
 
-def missed_by_a_run(threshold: float, branching: float, depth: int) -> float:
-    """Chance that a pair at the threshold shares no path of that depth: a branching process."""
-    mean, miss = branching * 2 * threshold / (1 + threshold), 0.0
-    for _ in range(depth):
-        miss = math.exp(-mean * (1 - miss))
-    return miss
+def met_in_a_run(threshold: float, common: float, depth: int) -> float:
+    """Chance that a pair at the threshold takes one path; common: common tokens that both have, as a share of all that either has."""
+    return sum((threshold - common) * common**d for d in range(depth)) + common**depth
 
 
-def _follow(wide: np.ndarray, begins: np.ndarray, counts: np.ndarray, record: np.ndarray, path: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places, records and new paths of the tokens chosen from each path; limit by record."""
-    size = counts[record]
-    total = int(size.sum())
-    which = np.repeat(np.arange(len(record)), size)
-    at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + begins[record][which]
-    hit = np.flatnonzero((_mix(wide[at] ^ path[which]) >> _U(1)) < limit[record[which]])
-    at, which = at[hit], which[hit]
-    return at, record[which], _mix(path[which] * _U(0x9E3779B97F4A7C15) + wide[at])
+def runs_needed(threshold: float, recall: float, depth: int = MAX_DEPTH) -> np.ndarray:
+    """Runs of a record by the share of its common tokens, in steps of 1 / SHARES.
 
+    Two records never have more common tokens in common than either has, so both make at least the runs that their pair
+    needs.  A step stands for the shares up to its end, and no step needs fewer runs than the one before.
+    """
+    shares = np.minimum((np.arange(SHARES + 1) + 1) / SHARES, threshold)
+    runs = [math.ceil(math.log(1 - recall) / math.log(1 - met_in_a_run(threshold, float(c), depth))) if threshold < 1 else 1 for c in shares]
+    return np.maximum.accumulate(np.array(runs))
 
-def _limits(share: np.ndarray) -> np.ndarray:
-    return (np.minimum(share, 1.0) * 2.0**62 * 1.9999).astype(np.uint64)
 
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _V(16))) * _V(0x85EBCA6B)
+    x = (x ^ (x >> _V(13))) * _V(0xC2B2AE35)
+    return x ^ (x >> _V(16))
 
-def chosen_paths(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray, runs: int, branching: float) -> tuple[np.ndarray, np.ndarray]:
-    """(record, path) of every leaf, the last bit of path telling a leaf of a deeper run; common: whether many records have the token."""
-    size = np.maximum(counts, 1)
+
+def chosen_paths(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(record, path) of every run's end; common: whether many records have the token; needed: as of runs_needed."""
     begins = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(counts)), counts)
-    rare = np.bincount(owner, weights=~common, minlength=len(counts))
-    wide = _mix(tokens.astype(np.uint64) + _U(0x51ED270B))
-    start = lambda run, record: np.full(len(record), _mix(np.array([run + 1], dtype=np.uint64))[0])
-    first = _limits(FIRST_TOKENS / np.maximum(rare, RARE_SHARE * size))
-    few = np.flatnonzero(~common)
-    seed = _mix(np.array([0], dtype=np.uint64) - _U(1))[0]
-    few = few[(_mix(wide[few] ^ seed) >> _U(1)) < first[owner[few]]]
-    owners, leaves = [owner[few]], [_mix(seed * _U(0x9E3779B97F4A7C15) + wide[few]) & ~_U(1)]
-    deep, limit = np.flatnonzero((counts > 0) & (rare < RARE_SHARE * size)), _limits(branching / size)
-    for run in range(runs if len(deep) else 0):
-        record, path = deep, start(run, deep)
+    full = np.flatnonzero(counts)
+    share = np.add.reduceat(common, begins[full], dtype=np.int64) / counts[full] if len(full) else np.zeros(0)
+    runs = needed[np.minimum((share * SHARES).astype(np.int64), SHARES)]
+    owners, leaves = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+
+    def taken(record: np.ndarray) -> np.ndarray:
+        """The places of the tokens of these records."""
+        size = counts[record]
+        return np.arange(int(size.sum())) + np.repeat(begins[record] - (np.cumsum(size) - size), size)
+
+    for run in range(int(runs.max(initial=0))):
+        record = full[runs > run]
+        path = np.full(len(record), _mix(np.array([run + 1], dtype=np.uint64))[0])
         for depth in range(MAX_DEPTH):
-            at, record, path = _follow(wide, begins, counts, record, path, limit)
-            ended = ~common[at] | (depth + 1 == MAX_DEPTH)
+            at, size = taken(record), counts[record]
+            # the last bit of a hash tells a common token
+            hashes = (_mix32(tokens[at] ^ np.repeat(path.astype(np.uint32), size)) & ~_V(1)) | common[at]
+            least = np.minimum.reduceat(hashes, np.cumsum(size) - size)
+            path = _mix(path * _U(0x9E3779B97F4A7C15) + least)
+            ended = ((least & _V(1)) == 0) | (depth + 1 == MAX_DEPTH)
             owners.append(record[ended])
-            leaves.append(path[ended] | _U(1))
+            leaves.append(path[ended])
             record, path = record[~ended], path[~ended]
+            if not len(record):
+                break
     return np.concatenate(owners), np.concatenate(leaves)
 
 
+def _parities(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * PARITIES slots holds an odd number of a set's tokens: sets differ in at least as many tokens as slots."""
+    slots = 64 * PARITIES
+    at = np.repeat(np.arange(len(counts)), counts) * slots + _mix32(tokens) % _V(slots)
+    odd = (np.bincount(at, minlength=len(counts) * slots) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _set_ids(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     raw = tokens.tobytes()
@@ -153,7 +164,7 @@ def _common_bits(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "bits": [np.packbits(total > SMALL_BUCKET + usual + 3 * usual**0.5).tobytes()]})
 
 
-def _records(shingle: int, least_words: int, runs: int, branching: float, shared):
+def _records(shingle: int, least_words: int, needed: np.ndarray, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
@@ -163,16 +174,17 @@ def _records(shingle: int, least_words: int, runs: int, branching: float, shared
                 tokens, counts = shingle_sets(part.column(2).to_pylist(), shingle, least_words, known)
                 if not len(tokens):
                     continue
-                owner, leaf = chosen_paths(tokens, counts, bits[tokens >> np.uint32(32 - SKETCH_BITS)], runs, branching)
+                owner, leaf = chosen_paths(tokens, counts, bits[tokens >> np.uint32(32 - SKETCH_BITS)], needed)
                 tabs = np.array([xxhash.xxh64_intdigest(t) for t in part.column(0).to_pylist()], dtype=np.uint64)
-                leaf = (_mix((leaf >> _U(1)) ^ tabs[owner]) & ~_U(1)) | (leaf & _U(1))
+                leaf = _mix(leaf ^ tabs[owner])
                 order = np.argsort(owner, kind="stable")
                 kept = np.flatnonzero(counts)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts))[kept])]).astype(np.int32)
                 leaves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaf[order].view(np.int64)))
+                parities = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * PARITIES), pa.array(_parities(tokens, counts[kept])))
                 took = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(took), part.column(1).take(took), pa.array(_mix(_set_ids(tokens, counts).view(np.uint64) ^ tabs)[kept].view(np.int64)), pa.array(counts[kept].astype(np.int32)), leaves], names=["tab", "id", "set", "n", "leaves"]
+                    [part.column(0).take(took), part.column(1).take(took), pa.array(_mix(_set_ids(tokens, counts).view(np.uint64) ^ tabs)[kept].view(np.int64)), pa.array(counts[kept].astype(np.int32)), leaves, parities], names=["tab", "id", "set", "n", "leaves", "parities"]
                 )
 
     return run
@@ -189,24 +201,27 @@ def _tokens(shingle: int, least_words: int):
     return run
 
 
-def similar_sets(records: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 1, recall: float = RECALL, branching: float = BRANCHING) -> tuple[DataFrame, DataFrame]:
+def similar_sets(records: DataFrame, threshold: float = 0.8, shingle: int = 5, least_words: int = 1, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(tab, id, set) of every record, and (a, b, similarity) of distinct similar sets of one table; records has tab, id and text."""
     spark = records.sparkSession
     kind = records.schema["id"].dataType.simpleString()
     texts = records.where("text <> ''").select("tab", "id", "text")
     chunks = texts.mapInArrow(_sketch(shingle, least_words), "chunk int, counters binary").groupBy("chunk").applyInPandas(_common_bits, "chunk int, bits binary").orderBy("chunk").collect()
     bits = b"".join(bytes(r["bits"]) for r in chunks) or bytes(1 << SKETCH_BITS >> 3)
-    runs = math.ceil(math.log(1 - recall) / math.log(missed_by_a_run(threshold, branching, MAX_DEPTH)))
+    needed = runs_needed(threshold, recall)
     shared_bits = spark.sparkContext.broadcast(bits)
-    found = materialise(texts.mapInArrow(_records(shingle, least_words, runs, branching, shared_bits), f"tab string, id {kind}, set long, n int, leaves array<long>"))
+    found = materialise(texts.mapInArrow(_records(shingle, least_words, needed, shared_bits), f"tab string, id {kind}, set long, n int, leaves array<long>, parities array<long>"))
     members = found.select("tab", "id", "set").distinct()
     # the set's hash holds the table's; equal sets are folded before anything is spread by path
-    classes = found.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("leaves").alias("leaves"))
+    classes = found.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("leaves").alias("leaves"), F.any_value("parities").alias("parities"))
     leaves = classes.select("set", "n", F.explode("leaves").alias("path")).repartition("path")  # one shuffle for both sides of the join
     left, right = leaves.select("path", F.col("set").alias("a"), F.col("n").alias("na")), leaves.select("path", F.col("set").alias("b"), F.col("n").alias("nb"))
     met = left.join(right, "path").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    often = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max(F.col("path").bitwiseAND(1)).alias("deep"))
-    pairs = materialise(often.where((F.col("times") >= MEETINGS) | (F.col("deep") == 1)).select("a", "b"))
+    side = lambda k: classes.select(F.col("set").alias(k), F.col("n").alias(f"n{k}"), F.col("parities").alias(f"p{k}"))
+    apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITIES)), F.lit(0))
+    # at the threshold sets differ in this share of their sizes' sum; those that surely differ in more are not spelled out
+    near = met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(apart <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-6)
+    pairs = materialise(near.select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     first = found.select("tab", "id", "set").join(wanted, "set").groupBy("set").agg(F.min(F.struct("tab", "id")).alias("r")).select("r.tab", "r.id", "set")
     tokens = materialise(texts.join(first, ["tab", "id"]).select("set", "text").mapInArrow(_tokens(shingle, least_words), "set long, tokens array<int>").dropDuplicates(["set"]))

@@ -134,6 +134,20 @@ def test_pairs_equal_brute_force(spark):
     assert members.count() == 0 and similar.count() == 0
 
 
+def test_pairs_of_mostly_common_shingles_are_met(spark):
+    r = random.Random(11)
+    records = []
+    for n in range(40):  # pairs at 0.70 to 0.75, 85% of whose shared shingles twenty records have; in every other group one text is the other and more
+        template = words(142, 1000 + n, 50_000)
+        for k in range(10):
+            mine, own = template + words(25, 100 * n + k, 10**6), [[f"x{r.randrange(10**9)}" for _ in range(m)] for m in ((34, 34) if n % 2 else (0, 70))]
+            records += [(20 * n + 2 * k + e, " ".join(mine + own[e])) for e in (0, 1)]
+    df = spark.createDataFrame([("t", i, t) for i, t in records], "tab string, id long, text string")
+    got = {(a.id_a, a.id_b) for a in similar_pairs(df, threshold=0.7, shingle=3, least_words=40).collect()}
+    want = brute_pairs(records, 40, 3, 0.7)
+    assert len(want) >= 400 and got <= want and len(got) >= 0.995 * len(want)
+
+
 # problem 2
 
 
