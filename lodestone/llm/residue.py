@@ -1,8 +1,9 @@
-"""Problem 3: template residue, filler, error pages and script notices, by partitioned SimHash tables and components.
+"""Problem 3: template residue, filler, error pages and script notices, by least-hash tables and components.
 
-What is left of a capture without its furniture is a unit if it is short; so is every fetch error.  Units are masked
-(numbers, hosts, codes) and folded.  Their 64-bit SimHashes go into four tables by their 16-bit quarters, so any two within
-three bits meet in one; pairs are verified by Hamming distance and edit similarity.  Units with unmistakable wording carry
+What is left of a capture without its furniture is a unit if it is short; so is every fetch error, and every line of filler.
+Units are masked (numbers, hosts, codes) and folded.  Two of edit similarity ``SIMILARITY`` share a third of their character
+pairs at least (units of five characters; longer ones more), so ``TABLES`` tables of two least hashes each bring them
+together with a chance of 0.9995; pairs are verified by edit similarity.  Units with unmistakable wording carry
 a trusted label, which spreads through the connected components.  Placeholders and filler count wherever they stand, but
 not between backticks.  Null and empty texts and errors are no cases.
 """
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.near_duplicates import _mix32
 from lodestone.llm.pages import FILLER, NOTICE, PLACEHOLDER, PSEUDO_LATIN, is_residue, page_nodes, page_texts, trusted_label
 from lodestone.operators.components import connected_components
 from lodestone.session import materialise, table
@@ -26,8 +28,9 @@ from lodestone.session import materialise, table
 UNIT_WORDS = 60
 #: Words of a line that may still be a notice rather than a sentence about one.
 NOTICE_WORDS = 15
-HAMMING, SIMILARITY = 3, 0.8
+SIMILARITY, TABLES = 0.8, 65
 _HINT = re.compile(r"[{}<\[$%]|__[A-Z]|undefined|[Ll]orem|ipsum|[Dd]ummy|TODO|[Ss]ample text|asdf|xxx|goes here|[Bb]lindtext|provis|relleno|ejemplo|placeholder|before launch|[Cc]oming soon|[Cc]lick to edit|short description")
+_SEEDS = _mix32(np.arange(1, 2 * TABLES + 1, dtype=np.uint32) * np.uint32(0x9E3779B1))
 _LATIN = re.compile(r"\b(?:dapib|pharet|faucib|velita|gravid|iaculis|sodal|consec|blandi|quisque|ultric|hendre|posuere|rutrum|viverra|congue|ornare)\b", re.I)
 
 
@@ -44,48 +47,56 @@ def trusted_residue(unit: str) -> bool:
     return any(is_residue(x) for x in lines) or all(len(x.split()) <= NOTICE_WORDS and (NOTICE.search(x) or len(x.split()) <= 3) for x in rest) and any(NOTICE.search(x) for x in rest)
 
 
-def simhash(text: str) -> int:
-    words = text.split()
-    grams = words + [" ".join(p) for p in zip(words, words[1:], strict=False)] or [text]
-    hashes = np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)
-    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    value = int(np.packbits(2 * bits.sum(axis=0) > len(grams), bitorder="little").view(np.uint64)[0])
-    return value - (1 << 64) if value >= 1 << 63 else value
+def signature(text: str) -> list[int]:
+    """A key for each table: two least hashes of the text's character pairs, equal ones told apart by number."""
+    seen: dict[str, int] = {}
+    pairs = [text[k : k + 2] for k in range(max(1, len(text) - 1))]
+    for k, pair in enumerate(pairs):
+        seen[pair] = seen.get(pair, 0) + 1
+        pairs[k] = f"{pair}{seen[pair]}"
+    hashes = np.array([xxhash.xxh32_intdigest(p) for p in pairs], dtype=np.uint32)
+    return _mix32(hashes[None, :] ^ _SEEDS[:, None]).min(axis=1).view(np.int64).tolist()
+
+
+def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"u": batch["u"], "unit": batch["unit"], "trusted": batch["trusted"], "keys": [signature(t) for t in batch["unit"]]})
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with residue of their own, and short units: (tab, id, sure, unit, simhash, trusted)."""
+    """Rows with residue of their own, and short units: (tab, id, sure, unit, trusted)."""
     for batch in batches:
         rows = []
         for tab, i, text, error in zip(batch["tab"], batch["id"], batch["text"], batch["error"], strict=True):
             if error:
                 unit = masked(error)
-                rows.append((tab, i, False, unit, simhash(unit), trusted_residue(error)))
+                rows.append((tab, i, False, unit, trusted_residue(error)))
             if not text or not text.strip():
                 continue
             if _HINT.search(text) or _LATIN.search(text):
                 if (PLACEHOLDER.search(text) or FILLER.search(text) or _LATIN.search(text)) and any(is_residue(x) for x in text.split("\n")):
-                    rows.append((tab, i, True, None, 0, True))
+                    rows.append((tab, i, True, None, True))
+                    rows += [(tab, i, False, masked(x), True) for x in text.split("\n") if FILLER.search(x) and len(x.split()) <= UNIT_WORDS]
                     continue
             _, lines, features, _ = page_nodes(text) if max(x.count(" ") for x in text.split("\n")) < UNIT_WORDS else (0, [], 0, 0)
             rest = [x for x, f in zip(lines, features, strict=True) if trusted_label(x, f) != 1] if lines else []
             if rest and sum(len(x.split()) for x in rest) <= UNIT_WORDS:
                 unit = masked("\n".join(rest))
-                rows.append((tab, i, False, unit, simhash(unit), trusted_residue("\n".join(rest))))
-        yield pd.DataFrame(rows, columns=["tab", "id", "sure", "unit", "simhash", "trusted"])
+                rows.append((tab, i, False, unit, trusted_residue("\n".join(rest))))
+        yield pd.DataFrame(rows, columns=["tab", "id", "sure", "unit", "trusted"])
 
 
 def residue_rows(rows: DataFrame) -> DataFrame:
     """(tab, id) of the rows that hold residue; rows has tab, id, text and error."""
     kind = rows.schema["id"].dataType.simpleString()
-    found = materialise(rows.select("tab", "id", "text", "error").where("text <> '' or error <> ''").mapInPandas(_scan, f"tab string, id {kind}, sure boolean, unit string, simhash long, trusted boolean"))
-    units = materialise(found.where("not sure").groupBy(F.xxhash64("unit").alias("u")).agg(F.any_value("unit").alias("unit"), F.any_value("simhash").alias("s"), F.max("trusted").alias("trusted")))
-    quarter = F.posexplode(F.expr("transform(sequence(0, 3), q -> shiftrightunsigned(s, 16 * q) & 65535)")).alias("table", "bits")
-    tables = units.select("u", "unit", "s", quarter)
-    left, right = tables.select("table", "bits", F.col("u").alias("a"), F.col("s").alias("sa"), F.col("unit").alias("ta")), tables.select("table", "bits", F.col("u").alias("b"), F.col("s").alias("sb"), F.col("unit").alias("tb"))
-    close = left.join(right, ["table", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= HAMMING))
+    found = materialise(rows.select("tab", "id", "text", "error").where("text <> '' or error <> ''").mapInPandas(_scan, f"tab string, id {kind}, sure boolean, unit string, trusted boolean"))
+    folded = found.where("not sure").groupBy(F.xxhash64("unit").alias("u")).agg(F.any_value("unit").alias("unit"), F.max("trusted").alias("trusted"))
+    units = materialise(folded.mapInPandas(_sign, "u long, unit string, trusted boolean, keys array<long>"))
+    tables = units.select("u", F.posexplode("keys").alias("table", "key"))
+    met = tables.select("table", "key", F.col("u").alias("a")).join(tables.select("table", "key", F.col("u").alias("b")), ["table", "key"]).where("a < b").select("a", "b").distinct()
+    close = met.join(units.select(F.col("u").alias("a"), F.col("unit").alias("ta")), "a").join(units.select(F.col("u").alias("b"), F.col("unit").alias("tb")), "b")
     longest = F.greatest(F.length("ta"), F.length("tb"))
-    links = close.dropDuplicates(["a", "b"]).where(F.levenshtein("ta", "tb") <= (1 - SIMILARITY) * longest).select("a", "b")
+    links = close.where(F.levenshtein("ta", "tb") <= (1 - SIMILARITY) * longest).select("a", "b")
     parts = connected_components(links)
     labelled = units.select("u", "trusted").join(parts.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
     bad = labelled.groupBy("c").agg(F.max("trusted").alias("bad")).where("bad").select("c")

@@ -199,6 +199,15 @@ def test_residue(spark):
     assert not is_residue("Designers used lorem ipsum drafts for 553 days before the vent text was shipped.")
 
 
+def test_residue_variants_without_known_wording(spark):
+    data = [
+        ("p", 1, "Please enable JavaScript to view this page."), ("p", 2, "Please enable Javscript to view this page."), ("p", 3, "Blindtext: hier steht noch ein Absatz."), ("p", 4, "Blintext: hier steht noch ein Absatz."),
+        ("p", 5, "The kettle was tested on this page."), ("p", 6, "Please view this page of kettles in a shop."),
+    ]
+    df = spark.createDataFrame(data, "tab string, id long, text string").withColumn("error", F.lit(None).cast("string"))
+    assert rows(residue_rows(df), "id") == [(1,), (2,), (3,), (4,)]
+
+
 def test_tails():
     assert tail_of("A whole sentence stands here.") == "closed"
     assert tail_of("The kettle was tested for ni") == "open"
