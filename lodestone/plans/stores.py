@@ -110,8 +110,8 @@ SQL["upsert_reviews"] = "SELECT id, max(product_name) AS product_name, max(scrap
 
 
 def insert_evidence(spark, d):
-    """Captures once for each run, source and content; the hash is of the text that is kept."""
-    e = table(spark, d, "raw_evidence").where(C("content").isNotNull()).select("run_id", "source_url", F.sha2(F.substring("content", 1, 60000), 256).alias("stored_hash"), "id", "scraped_at")
+    """Captures once for each run, source and content; the hash is of the whole text."""
+    e = table(spark, d, "raw_evidence").where(C("content").isNotNull()).select("run_id", "source_url", F.sha2("content", 256).alias("stored_hash"), "id", "scraped_at")
     return insert_ignore(e, ["run_id", "source_url", "stored_hash"], [C("id")])
 
 

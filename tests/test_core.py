@@ -115,3 +115,12 @@ def test_admission_equals_a_fold(spark):
         assert got[n] == (len(mine) < 3)
         passed[u] = mine + [t] * got[n]
     assert len(got) == 302 and not got[900] and not got[901]
+
+
+def test_captures_that_differ_late_are_both_kept(spark, tmp_path):
+    from lodestone.plans.stores import insert_evidence
+
+    same = "x" * 60_000
+    data = [(1, "r", "u", same + "a", "t"), (2, "r", "u", same + "b", "t"), (3, "r", "u", same + "a", "t"), (4, "r", "u", None, "t")]
+    spark.createDataFrame(data, "id long, run_id string, source_url string, content string, scraped_at string").write.parquet(f"{tmp_path}/raw_evidence.parquet")
+    assert rows(insert_evidence(spark, str(tmp_path)), "id") == [(1,), (2,)]
