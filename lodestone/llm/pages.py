@@ -1,231 +1,179 @@
-"""The lines of captured pages as nodes of a shallow tree (page, block, run, line), with the features that tell furniture from body.
+"""The lines of captured pages as leaves of a shallow tree (page, block, run, line), with the features of each line.
 
-Shared by the operators on page text; a line's own features are kept for lines that come again.
+Nothing here knows any wording: what a word says about a line is learned from labelled pages (``boilerplate``), as weights of
+hashed tokens.  The arrays of many pages are worked out at once.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-#: Words of site navigation in the languages of the captures.
-NAVIGATION = frozenset(
-    """home menu shop store stores deals offers pricing prices reviews compare guides brands careers jobs press news blog forum help support about contact account basket cart wishlist
-    startseite menü angebote preise testberichte vergleich ratgeber marken hilfe kontakt konto warenkorb impressum
-    accueil boutique promotions tarifs avis comparer comparateur marques aide compte panier
-    inicio tienda ofertas precios opiniones comparar guías marcas ayuda contacto cuenta carrito
-    início loja promoções preços avaliações guias ajuda contato conta carrinho""".split()
-)
-#: Wording of consent notices, legal lines, tools and promotions around a page's body.
-WORDING = re.compile(
-    r"(?i)skip to (?:main )?content|zum inhalt springen|aller au contenu|saltar al|ir para o conte|privacy (?:policy|·)|terms (?:of use|·)|sitemap|imprint\b|do not sell|impressum|datenschutz|\bagb\b|mentions légales|confidentialité|\bcgv\b"
-    r"|aviso legal|privacidade?\b|condiciones|\btermos\b|all rights reserved|alle rechte vorbehalten|tous droits|todos (?:los|os) d|copyright \d|^\W*©|cookies?\b|traceurs|tracking technolog|your privacy|value your choices|before you continue"
-    r"|got it$|accept all|akzeptieren|ablehnen|accepter|aceptar|aceitar|acceptez|aceptas|aceita\b|stimmen sie zu|entendido$|\[accept\]|allow (?:all|necessary)|save my choices|votre vie privée|manage preferences|agree to our policy|powered by"
-    r"|back to top|nach oben$|haut de page|volver arriba|voltar ao topo|print this page|choose your country|vat where it applies|sign up|newsletter|à la lettre de|boletín|boletim|subscribe (?:for|to)|follow us|download the .* app$"
-    r"|chat with us|free delivery over|click and collect|log in|register$|registrieren|connexion|inscription$|iniciar sesión|^entrar|advertisement|^anzeige$|^publicit|^publicidad|^sponsored"
-    r"|^share:|^teilen|^partager|^compartir|^compartilhar|leave a comment|was this page helpful|search the .* store|trading name used|registered office|^gift cards\b"
-)
-RELATED = re.compile(
-    r"(?i)^(?:#{1,6} )?(?:you may also like|customers also|related |most viewed|popular this week|trending now|latest from|sponsored|more from|das könnte sie auch|meistgelesen|à lire aussi|les plus consultés"
-    r"|lo más visto|también te|te puede interesar|mais (?:lidos|vistos)|veja também|você também|quem viu)"
-)
-PROMOTION = re.compile(
-    r"^(?:Your [\w-]+ [\w-]+ partner for|\d+ .* are looking at .* right now$|.* deals, \d+ stores, one |[\w'-]+ – [\w-]+ made [\w-]+$|Now open in |This month only:|Ask our \d+|Member prices for|Win a .*see rules$|([\w-]+) [\w-]+\. \1 [\w-]+\. [\w-]+\.$)"
-)
-ITEM = re.compile(r"^(?:[-*•→]\s+)?[A-ZÀ-Þ][\w'-]+ [A-Z][\w'-]+ \d{3,4}(?:\s+(?:review|–\s+[\w-]+|(?:[A-Z]{3} ?|R\$ ?|CA\$|A\$|S\$|[$€£¥₹])[\d.,]+))?$")
-TITLE = re.compile(r"^Updated in [A-Z]|^(?:Is the )?[A-ZÀ-Þ][\w'-]+ [A-Z][\w'-]+ \d{3,4}\b.*(?:review|what changed|price history|offers|against its rivals|worth it\?|– [\w'-]+)")
-LABEL = re.compile(r"^(?:[-*•] )?[A-ZÀ-Þ][\w äöüéñç'-]{2,16}: \S")
-BULLET = re.compile(r"^\s*[-*•→]\s+")
-LINKS = re.compile(r"\[[^\]]*\]\([^)]*\)")
-TRAIL = re.compile(r"\s[/>»·|]\s")
-#: Wording of error pages, script notices and loading notes; such lines are residue, not furniture.
-NOTICE = re.compile(
-    r"(?i)java ?script|requires scripts|support scripts|noscript|loading(?:,|…|\.\.\.)|could not be found|not found|does not exist|nicht gefunden|introuvable|no encontrad|não encontrad|見つかりません|bad gateway|gateway time|internal server error|service (?:temporarily )?unavailable"
-    r"|access denied|do not have permission|too many requests|not a robot|complete the puzzle|captcha|request blocked|session has expired|sign in again|something went wrong|no longer available or|planned maintenance|traceback|keyerror|typeerror|file \"[^\"]+\", line"
-    r"|database connection failed|mysql_query|fatal error|warning: \w+\(|^proxy/\d|^\d{3}$|^error \d{3}|code \d{3}$"
-)
-#: Forms of unfilled placeholders; one between backticks is quoted as code.
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]*\}\}|\{%[^%\n]*%\}|<%=?[^%\n]*%>|[$#]\{[^{}\n]*\}|\[\[[^\[\]\n]*\]\]|%%\w+%%|__[A-Z][A-Z_]*__|<[A-Z][A-Z_]+>|\[(?:INSERT|YOUR|ENTER) [^\]\n]*\]|\$[A-Z][A-Z_]+\$|\[object Object\]"
-    r"|\bundefined\b|\{(?:\d|[a-z][a-z_.]*)\}|%s\b"
-)
-#: Wording of filler text, and the words of the usual pseudo-Latin.
-FILLER = re.compile(
-    r"(?i)\blorem ipsum dolor|dummy (?:content|text) for|\bTODO: |^sample text\.|sample text\. click|\basdf asdf|\bxxx xxx|\b(?:name|text|message|title|description|content|headline|copy) goes here|add a short description of|blindtext|texte provisoire|texto (?:provis|de ejemplo|de relleno)"
-    r"|\(placeholder\)|replaced before launch|^coming soon: text|click to edit this|placeholder text", re.M
-)
-PSEUDO_LATIN = frozenset(
-    """lorem ipsum dolor sit amet nulla velita odio ante molli mollis dapib dapibus risus pharet pharetra nibh mattis tortor faucib faucibus vitae urna neque gravid gravida tempor sapien iaculis quam blandi blandit magna
-    varius congue viverra labore porta consec consectetur cursus sodal sodales justo ornare hendre hendrerit quisque semper rutrum lacinia auris mauris tellus posuere ultric ultrices elit sed do eiusmod incididunt et dolore aliqua adipiscing""".split()
-)
-TOKEN = re.compile(r"[^\W_]+")
-#: A line without any of these words can't match WORDING, or NOTICE, which are slower to search.
-WORDING_KEYS = frozenset(
-    """skip zum aller saltar ir privacy terms sitemap imprint sell impressum datenschutz agb mentions confidentialité cgv aviso privacidad privacidade condiciones termos rights rechte tous todos copyright cookie cookies traceurs tracking
-    choices continue got accept akzeptieren ablehnen accepter aceptar aceitar acceptez aceptas aceita stimmen entendido allow privée preferences policy powered back nach haut volver voltar print country vat sign newsletter lettre boletín
-    boletim subscribe follow download chat delivery click log register registrieren connexion inscription iniciar entrar advertisement anzeige publicité publicidad publicidade sponsored share teilen partager compartir compartilhar
-    comment helpful search trading registered gift""".split()
-)
-NOTICE_KEYS = frozenset(
-    """javascript java scripts script noscript loading found exist gefunden introuvable encontrado encontrada gateway internal unavailable denied permission requests robot puzzle captcha blocked expired again wrong longer maintenance
-    traceback keyerror typeerror file database mysql query fatal warning proxy error code""".split()
-)
-SHAPES = {"heading": 0, "subheading": 1, "bullet": 2, "table": 3, "sentence": 4, "short": 5, "long": 6}
+#: Buckets of hashed tokens and of hashed token pairs.
+BUCKETS = 1 << 15
+TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+BULLET = re.compile(r"[-*•→]\s")
+SHAPES = ("heading", "bullet", "table", "sentence", "label", "short")
 NAMES = (
-    "words", "chars", "sentences", "heading", "subheading", "bullet", "table", "sentence", "short", "long", "navigation", "separators", "links", "wording", "related", "promotion", "item", "title", "label", "digits", "capitals", "notice",
-    "in_related", "prev_navigation", "next_navigation", "prev_wording", "next_wording", "prev_sentence", "next_sentence", "block_lines", "block_words", "block_navigation", "block_wording", "before_body", "after_body", "from_top", "from_end",
+    "words", "chars", "ends", "closed", "level", "digits", "capitals", "foreign", "links", "separators", "brackets", "colon", "symbol", *SHAPES,
+    "weight", "weight_mean", "weight_min", "weight_max", "first", "last", "pair_mean", "pair_min", "pair_max",
+    "block_lines", "block_words", "block_weight", "block_place", "run_lines", "run_words", "run_weight", "head_weight", "head_distance", "head_level",
+    "prev_weight", "next_weight", "prev_words", "next_words", "prev_closed", "next_closed", "prev2_weight", "next2_weight", "before_body", "after_body", "from_top", "from_end", "page_weight", "page_lines",
 )
-_SEEN: dict[str, tuple] = {}
-
-
-def is_residue(line: str) -> bool:
-    """Whether a line holds an unfilled placeholder or filler."""
-    if any(line[m.start() - 1 : m.start()] != "`" for m in PLACEHOLDER.finditer(line)) or FILLER.search(line):
-        return True
-    words = re.findall(r"[^\W\d_]+", line.lower())
-    return len(words) >= 5 and sum(w in PSEUDO_LATIN for w in words) >= 0.5 * len(words)
-
-
-def own_features(line: str) -> tuple:
-    """The first 22 of NAMES for a non-blank line."""
-    if (kept := _SEEN.get(line)) is not None:
-        return kept
-    s = line.strip()
-    words = s.split()
-    n = len(words)
-    brief = len(s) <= 170
-    ends = s[-1] in ".!?。"
-    if s[0] == "#":
-        shape = "heading" if s.startswith(("# ", "## ")) else "subheading"
-    elif s[0] == "|":
-        shape = "table"
-    elif BULLET.match(s):
-        shape = "bullet"
-    elif (ends and n >= 6) or "。" in s:
-        shape = "sentence"
-    else:
-        shape = "short" if n <= 14 else "long"
-    links = len(LINKS.findall(s)) if "](" in s else 0
-    wording = notice = False
-    navigation = 0.0
-    if brief or links:
-        plain = LINKS.sub(lambda m: m.group(0)[1:].split("]")[0], s) if links else s
-        parts = TOKEN.findall(plain.lower())
-        navigation = sum(p in NAVIGATION for p in parts) / len(parts) if parts else 0.0
-        if brief:
-            wording = (s[0] in "©[" or not WORDING_KEYS.isdisjoint(parts)) and bool(WORDING.search(s))
-            notice = (n <= 3 or not NOTICE_KEYS.isdisjoint(parts) or not s.isascii()) and bool(NOTICE.search(s)) or n <= 14 and is_residue(s)
-    own = (
-        n, len(s), s.count(". ") + s.count("! ") + s.count("? ") + ends + s.count("。"), *(float(shape == k) for k in SHAPES), navigation, len(TRAIL.findall(s)) if brief else 0, links,
-        float(wording), float(brief and bool(RELATED.match(s))), float(brief and bool(PROMOTION.match(s))), float(brief and bool(ITEM.match(s))), float(brief and bool(TITLE.match(s))),
-        float(brief and bool(LABEL.match(s))), sum(c.isdigit() for c in s) / len(s) if len(s) <= 80 else 0.0, sum(w[0].isupper() for w in words[:20]) / min(n, 20), float(notice),
-    )
-    if brief:
-        if len(_SEEN) > 200_000:
-            _SEEN.clear()
-        _SEEN[line] = own
-    return own
-
-
-def page_nodes(text: str) -> tuple[list[int], list[str], np.ndarray, list[int]]:
-    """Numbers and texts of the non-blank lines, their features, and the run that each line belongs to."""
-    numbers, lines, blocks = [], [], []
-    block = -1
-    blank = True
-    for n, line in enumerate(text.split("\n")):
-        if not line.strip():
-            blank = True
-            continue
-        if blank:
-            block += 1
-            blank = False
-        numbers.append(n)
-        lines.append(line)
-        blocks.append(block)
-    if not lines:
-        return [], [], np.zeros((0, len(NAMES))), []
-    own = np.array([own_features(x) for x in lines], dtype=np.float64)
-    count = len(lines)
-    at = np.array(blocks)
-    col = {k: n for n, k in enumerate(NAMES)}
-    nav, wording, sentence = own[:, col["navigation"]], own[:, col["wording"]], own[:, col["sentence"]]
-    related = np.zeros(count)
-    runs, run, kind = [], -1, None
-    for n in range(count):
-        o = own[n]
-        new_block = n == 0 or at[n] != at[n - 1]
-        if o[col["related"]]:
-            now = ("related", n)
-        elif kind and kind[0] == "related" and not new_block and (o[col["bullet"]] or o[col["short"]]) and not o[col["label"]] and o[col["words"]] <= 9:
-            now = kind
-        elif o[col["bullet"]]:
-            now = ("bullet", at[n])
-        elif o[col["label"]]:
-            now = ("label", at[n])
-        elif nav[n] >= 0.99 and o[col["words"]] <= 2:
-            now = ("navigation", at[n])
-        else:
-            now = (None, n)
-        if now != kind:
-            run += 1
-        kind = now
-        runs.append(run)
-        related[n] = float(now[0] == "related")
-    sizes = np.bincount(at)
-    mean = lambda x: (np.bincount(at, weights=x) / sizes)[at]
-    shift = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
-    body = np.flatnonzero((sentence > 0) & (wording == 0) & (own[:, 0] >= 8))
-    first, last = (body[0], body[-1]) if len(body) else (count, -1)
-    place = np.arange(count)
-    around = np.stack(
-        [
-            related, shift(nav, -1), shift(nav, 1), shift(wording, -1), shift(wording, 1), shift(sentence, -1), shift(sentence, 1), sizes[at].astype(float), mean(own[:, 0]), mean(nav), mean(wording),
-            np.maximum(first - place, 0.0), np.maximum(place - last, 0.0), place.astype(float), (count - 1 - place).astype(float),
-        ],
-        axis=1,
-    )
-    return numbers, lines, np.concatenate([own, around], axis=1), runs
+_BUCKET: dict[str, int] = {}
 
 
-_COL = {k: n for n, k in enumerate(NAMES)}
+class Lines(NamedTuple):
+    """The non-blank lines of many pages: page, number and text of each, its block and its run, and where each page begins."""
 
+    page: np.ndarray
+    number: np.ndarray
+    text: list[str]
+    block: np.ndarray
+    run: np.ndarray
+    shape: np.ndarray
 
-def trusted_label(line: str, f: np.ndarray) -> int:
-    """1: surely furniture, 0: surely body, -1: not sure; the labels that the classifier learns from."""
-    v = lambda k: f[_COL[k]]
-    words = v("words")
-    if v("separators") and line.split()[0].lower() in NAVIGATION:
-        return 1
-    if v("notice") and not v("wording"):
+
+def _shape(s: str) -> int:
+    if s[0] == "#":
         return 0
-    if v("related") or (v("links") >= 1 and v("navigation") >= 0.6) or (v("navigation") >= 0.6 and words <= 14):
-        return 1
-    if v("wording") and (words <= 14 if v("sentence") else words <= 22) and not (v("bullet") and words >= 9) and not v("table") and not v("heading"):
-        return 1
-    if v("promotion") or (v("item") and v("bullet")):
-        return 1
-    if v("in_related") and (v("item") or v("bullet")):
+    if BULLET.match(s):
         return 1
-    if v("sentence") or v("table") or v("heading") or v("long") or v("label"):
-        return 0
-    if v("bullet") and words >= 8:
-        return 0
-    if v("title") and not v("in_related"):
-        return 0
-    if v("from_end") == 0 and v("short") and words >= 2 and not (v("navigation") or v("wording") or v("in_related") or v("item") or v("separators")):
-        return 0  # a sentence that the capture cut short
-    return -1
+    if s[0] == "|":
+        return 2
+    words = s.count(" ") + 1
+    if "。" in s or (s[-1] in ".!?" and words >= 6) or words >= 20:
+        return 3
+    colon = s.find(": ")
+    return 4 if 0 < colon <= 20 and s.count(" ", 0, colon) <= 2 else 5
+
+
+def page_lines(texts: list[str | None]) -> Lines:
+    """Blocks lie between blank lines; a run is a stretch of lines of one shape within a block, with the heading above it."""
+    page, number, text, block, run, shape = [], [], [], [], [], []
+    b = r = -1
+    for k, value in enumerate(texts):
+        before, blank = -1, True
+        for n, line in enumerate((value or "").split("\n")):
+            s = line.strip()
+            if not s:
+                blank = True
+                continue
+            now = _shape(s)
+            if blank:
+                b += 1
+                r += 1
+                blank = False
+            elif now != before and before != 0:
+                r += 1
+            before = now
+            page.append(k)
+            number.append(n)
+            text.append(s)
+            block.append(b)
+            run.append(r)
+            shape.append(now)
+    return Lines(np.array(page, dtype=np.int64), np.array(number, dtype=np.int64), text, np.array(block, dtype=np.int64), np.array(run, dtype=np.int64), np.array(shape, dtype=np.int64))
+
+
+def buckets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The token buckets of all lines, one after another, and how many tokens each line has (one at least)."""
+    if len(_BUCKET) > 500_000:
+        _BUCKET.clear()
+    out, sizes = [], []
+    for s in lines:
+        tokens = TOKEN.findall(s.lower()) or [""]
+        sizes.append(len(tokens))
+        for t in tokens:
+            if (at := _BUCKET.get(t)) is None:
+                at = _BUCKET[t] = xxhash.xxh32_intdigest("0" if t.isdigit() else t) % BUCKETS
+            out.append(at)
+    return np.array(out, dtype=np.int64), np.array(sizes, dtype=np.int64)
+
+
+def pairs_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bucket of each token with the one after it in its line; the last one's is that of the token with the line's end."""
+    following = np.append(tokens[1:], 0)
+    following[np.cumsum(sizes) - 1] = BUCKETS
+    return (tokens * 0x9E3779B1 + following * 0x85EBCA6B) % BUCKETS
+
+
+def features(lines: Lines, weights: np.ndarray) -> np.ndarray:
+    """A row of NAMES for each line; weights holds the log-odds of the token buckets, then those of the pair buckets."""
+    count = len(lines.text)
+    if not count:
+        return np.zeros((0, len(NAMES)))
+    tokens, sizes = buckets_of(lines.text)
+    begin = np.cumsum(sizes) - sizes
+    pair = weights[BUCKETS + pairs_of(tokens, sizes)]
+    single = weights[tokens]
+    chars = np.array([len(s) for s in lines.text])
+    codes = np.frombuffer("".join(lines.text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    start = np.cumsum(chars) - chars
+    tally = lambda mask: np.add.reduceat(mask.astype(np.int64), start)
+    small = np.minimum(codes, 255)
+    of = lambda characters: np.isin(small, [ord(c) for c in characters])
+    spaces = tally(small == 32) + 1.0
+    upper = (codes >= 65) & (codes <= 90) | (codes >= 0xC0) & (codes <= 0xDE)
+    own = [
+        spaces, chars, tally(of(".!?") | (codes == 0x3002)), np.isin(codes[start + chars - 1], [33, 46, 63, 0x3002]), [len(s) - len(s.lstrip("#")) for s in lines.text], tally((codes >= 48) & (codes <= 57)) / chars, tally(upper) / spaces,
+        tally(codes > 127) / chars, [s.count("](") for s in lines.text], tally(of("|/>»·") | (codes == 0x2022)), tally(of("[](){}")), [s.find(": ") if ": " in s else 99 for s in lines.text],
+        ~((codes[start] >= 48) & (codes[start] <= 57) | (codes[start] >= 65) & (codes[start] <= 90) | (codes[start] >= 97) & (codes[start] <= 122) | (codes[start] > 127)), *(lines.shape == k for k in range(len(SHAPES))),
+    ]
+    total = np.add.reduceat(single, begin)
+    mean = total / sizes
+    learned = [total, mean, np.minimum.reduceat(single, begin), np.maximum.reduceat(single, begin), single[begin], single[begin + sizes - 1], np.add.reduceat(pair, begin) / sizes, np.minimum.reduceat(pair, begin), np.maximum.reduceat(pair, begin)]
+    place = np.arange(count)
+    within = lambda key, x: (np.bincount(key, weights=x) / np.bincount(key))[key]
+    first_of = lambda key: np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), place, 0))
+    last_of = lambda key: np.minimum.accumulate(np.where(np.append(key[1:] != key[:-1], True), place, count)[::-1])[::-1]
+    page_first, page_last = first_of(lines.page), last_of(lines.page)
+    closed = np.asarray(own[3], dtype=float)
+    head = (lines.shape == 0) | ((lines.shape == 5) & (place == first_of(lines.block)))
+    nearest = np.maximum.accumulate(np.where(head, place, -1))
+    known = nearest >= page_first
+    at = np.maximum(nearest, 0)
+
+    def near(x: np.ndarray, by: int) -> np.ndarray:
+        to = place + by
+        inside = (to >= page_first) & (to <= page_last)
+        return np.where(inside, x[np.clip(to, 0, count - 1)], 0.0)
+
+    body = (lines.shape == 3) & (spaces >= 8)
+    before = np.maximum.accumulate(np.where(body, place, -1))
+    after = np.minimum.accumulate(np.where(body, place, count)[::-1])[::-1]
+    opening, closing = before < page_first, after > page_last
+    around = [
+        np.bincount(lines.block)[lines.block], within(lines.block, spaces), within(lines.block, mean), place - first_of(lines.block), np.bincount(lines.run)[lines.run], within(lines.run, spaces), within(lines.run, mean),
+        np.where(known, mean[at], 0.0), np.where(known, place - nearest, 99), np.where(known, np.asarray(own[4])[at], 0),
+        near(mean, -1), near(mean, 1), near(spaces, -1), near(spaces, 1), near(closed, -1), near(closed, 1), near(mean, -2), near(mean, 2),
+        np.where(opening, np.minimum(after, page_last + 1) - place, 0), np.where(closing, place - np.maximum(before, page_first - 1), 0), place - page_first, page_last - place, within(lines.page, mean), page_last - page_first + 1,
+    ]
+    return np.column_stack([np.asarray(x, dtype=np.float64) for x in (*own, *learned, *around)])
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tab, id, source, text) of pages and captures; source is host and scraper."""
+    """(tab, id, host, scraper, text) of pages and captures."""
     host = lambda c: F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"^[a-z]+://([^/?#]+)", 1)
     pages, captures = table(spark, sf_dir, "research_pages"), table(spark, sf_dir, "raw_evidence")
     return pages.select(F.lit("research_pages").alias("tab"), "id", host("url").alias("host"), F.coalesce("scraper", F.lit("")).alias("scraper"), "text").unionByName(
         captures.select(F.lit("raw_evidence").alias("tab"), "id", host("source_url").alias("host"), F.lit("").alias("scraper"), F.col("content").alias("text"))
     )
+
+
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, id, body): the sections of every page that has any, heading and content; such a page is no residue, and the rest of it no body."""
+    return table(spark, sf_dir, "research_sections").where("page_id is not null").select(F.lit("research_pages").alias("tab"), F.col("page_id").alias("id"), F.concat_ws("\n", "heading", "content").alias("body"))
+
+
+def pages_without_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, id) of the pages that were fetched with a text and gave no section."""
+    fetched = table(spark, sf_dir, "research_pages").where("status = 'fetched' and text <> ''").select(F.lit("research_pages").alias("tab"), "id")
+    return fetched.join(page_bodies(spark, sf_dir).select("tab", "id").distinct(), ["tab", "id"], "left_anti")

@@ -1,117 +1,206 @@
-"""Problem 3: template residue, filler, error pages and script notices, by least-hash tables and components.
-
-What is left of a capture without its furniture is a unit if it is short; so is every fetch error, and every line of filler.
-Units are masked (numbers, hosts, codes) and folded.  Two of edit similarity ``SIMILARITY`` share a third of their character
-pairs at least (units of five characters; longer ones more), so ``TABLES`` tables of two least hashes each bring them
-together with a chance of 0.9995; pairs are verified by edit similarity.  Units with unmistakable wording carry
-a trusted label, which spreads through the connected components.  Placeholders and filler count wherever they stand, but
-not between backticks.  Null and empty texts and errors are no cases.
+"""Problem 3: template residue, filler, error pages and script notices, by SimHash tables, verified similarity and label spread.
+
+Texts and fetch errors are taken apart into units: lines, delimited stretches (between braces, brackets or twin signs) and
+words, masked (numbers, codes, hosts; letters of a stretch) and folded.  Trusted labels come from values known to be proper
+(pages whose body is known) or improper (pages that were fetched but have no body, errors of pages that were fetched):
+a unit is trusted residue if no proper page has it and it comes in more copies of improper ones than chance allows, over all
+such units (``CHANCE``); an error's, if it is on fetched pages ``TIMES`` as often as errors are.  A few well-known wordings
+(``SEEDS``) are trusted too.  Labels spread from unit to unit through near-duplicate links until none is new, which labels
+the components that hold a trusted unit: lines meet in ``TABLES`` partitions of SimHash bits, and a link needs a Hamming
+distance of ``HAMMING`` at most and an edit similarity of ``SIMILARITY``.  A unit of a proper page is never labelled.
+Rows are residue by their units alone.  Null and empty texts and errors are no cases; texts count whole, whatever their size.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.near_duplicates import _mix32
-from lodestone.llm.pages import FILLER, NOTICE, PLACEHOLDER, PSEUDO_LATIN, is_residue, page_nodes, page_texts, trusted_label
-from lodestone.operators.components import connected_components
+from lodestone.llm.pages import page_bodies, page_texts, pages_without_body
 from lodestone.session import materialise, table
 
-#: Words that a unit may have at most: a longer rest is a body of its own.
-UNIT_WORDS = 60
-#: Words of a line that may still be a notice rather than a sentence about one.
-NOTICE_WORDS = 15
-SIMILARITY, TABLES = 0.8, 65
-_HINT = re.compile(r"[{}<\[$%]|__[A-Z]|undefined|[Ll]orem|ipsum|[Dd]ummy|TODO|[Ss]ample text|asdf|xxx|goes here|[Bb]lindtext|provis|relleno|ejemplo|placeholder|before launch|[Cc]oming soon|[Cc]lick to edit|short description")
-_SEEDS = _mix32(np.arange(1, 2 * TABLES + 1, dtype=np.uint32) * np.uint32(0x9E3779B1))
-_LATIN = re.compile(r"\b(?:dapib|pharet|faucib|velita|gravid|iaculis|sodal|consec|blandi|quisque|ultric|hendre|posuere|rutrum|viverra|congue|ornare)\b", re.I)
-
-
-def masked(text: str) -> str:
-    t = re.sub(r"\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net)\b", "host", text.lower())
-    t = re.sub(r"\b(?=[a-z]*\d)[0-9a-f]{6,}\b|\d+", "0", t)
-    return re.sub(r"\s+", " ", t).strip()
-
-
-def trusted_residue(unit: str) -> bool:
-    """Whether every line but a title is unmistakable residue wording."""
-    lines = [x for x in unit.split("\n") if x.strip()]
-    rest = [x for x in lines if not x.startswith("#")] or lines
-    return any(is_residue(x) for x in lines) or all(len(x.split()) <= NOTICE_WORDS and (NOTICE.search(x) or len(x.split()) <= 3) for x in rest) and any(NOTICE.search(x) for x in rest)
-
-
-def signature(text: str) -> list[int]:
-    """A key for each table: two least hashes of the text's character pairs, equal ones told apart by number."""
-    seen: dict[str, int] = {}
-    pairs = [text[k : k + 2] for k in range(max(1, len(text) - 1))]
-    for k, pair in enumerate(pairs):
-        seen[pair] = seen.get(pair, 0) + 1
-        pairs[k] = f"{pair}{seen[pair]}"
-    hashes = np.array([xxhash.xxh32_intdigest(p) for p in pairs], dtype=np.uint32)
-    return _mix32(hashes[None, :] ^ _SEEDS[:, None]).min(axis=1).view(np.int64).tolist()
+#: Expected number of units that are trusted by chance; how much more common than usual an error must be on fetched pages.
+CHANCE, TIMES = 0.01, 2.0
+SIMILARITY, HAMMING = 0.8, 14
+#: Partitions of sampled SimHash bits, and bits of each.
+TABLES, BITS = 40, 14
+#: Labelled units are sent to all tasks up to this number; more are joined.
+SMALL = 200_000
+#: Well-known wording of filler and of servers, trusted without evidence.
+SEEDS = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "404 Not Found", "403 Forbidden", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout",
+    "Page not found", "Access denied", "Please enable JavaScript to continue.", "You need to enable JavaScript to run this app.", "{{ name }}", "${name}", "<%= name %>", "{% if name %}", "[object Object]", "%s", "undefined",
+)
+#: A delimited stretch: braces, brackets, angle brackets, twin signs, format signs, the word for no value; with the backticks that quote it.
+STRETCH = r"`?(?:[$#%]?\{+[^{}\n]*\}+|\[+[^\[\]\n]*\]+(?!\()|<[%/!]?[A-Za-z=][^<>\n]*>|<%[^<>\n]*%>|(?<![\w$%])([$%_]{1,2})[A-Za-z]\w*?\1(?!\w)|(?<![\w%])%[sd]\b|(?<!\w)undefined(?!\w))`?"
+#: Words of a line, and share of them, that must be confined to improper values for the line to fold into the unit of filler.
+FILLER_WORDS, FILLER_SHARE = 5, 0.5
+_CHOSEN = np.array([np.random.default_rng(t).permutation(64)[:BITS] for t in range(TABLES)])
+
+
+def masked_line(line) -> F.Column:
+    t = F.regexp_replace(F.lower(line), r"\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net)\b", "host")
+    t = F.regexp_replace(t, r"\b(?=[a-z]*\d)[0-9a-f]{6,}\b|\d+", "0")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def masked_stretch(stretch) -> F.Column:
+    t = F.regexp_replace(F.regexp_replace(stretch, r"[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)*", "A"), r"[A-Z]?[a-z][a-zA-Z_.]*", "a")
+    masked = F.regexp_replace(F.regexp_replace(t, r"\d+", "0"), r"A(?: A)+", "A")
+    return F.when(stretch.rlike("^[A-Za-z]+$"), stretch).otherwise(masked)
+
+
+def _words() -> F.Column:
+    return F.transform(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda x: F.struct(F.lit("word").alias("kind"), x.alias("unit")))
+
+
+def units_of(values: DataFrame, words: bool = False) -> DataFrame:
+    """values with (kind, unit) of every line and stretch of its text, and of every word if asked, each once."""
+    each = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0))
+    lines = F.transform(each, lambda x: F.struct(F.lit("line").alias("kind"), masked_line(x).alias("unit")))
+    stretches = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(STRETCH), 0)), lambda x: F.struct(F.lit("stretch").alias("kind"), masked_stretch(x).alias("unit")))
+    return values.where("text <> ''").withColumn("each", F.explode(F.array_distinct(F.concat(lines, stretches, *([_words()] if words else []))))).select(*[c for c in values.columns if c != "text"], "each.*").where("unit <> ''")
+
+
+def _hash() -> F.Column:
+    return F.xxhash64("kind", "unit")
+
+
+def unit_counts(values: DataFrame) -> DataFrame:
+    """(u, kind, unit, proper, improper, on_error, errors): a row a unit; whether proper values have it, copies of improper ones that do, and its errors."""
+    some = lambda c: F.when(c, F.lit(1))
+    part = units_of(values, words=True).withColumn("u", _hash())
+    copy = F.when((F.col("trust") == 1) & (F.col("part") == "text"), F.col("copy"))
+    first = part.groupBy("u", copy.alias("copy")).agg(
+        F.any_value("kind").alias("kind"), F.any_value("unit").alias("unit"), F.max(some(F.col("trust") == 0)).alias("proper"), F.count(some((F.col("part") == "error") & (F.col("trust") == 1))).alias("on_error"), F.count(some(F.col("part") == "error")).alias("errors")
+    )
+    return first.groupBy("u").agg(
+        F.any_value("kind").alias("kind"), F.any_value("unit").alias("unit"), (F.max("proper") == 1).alias("proper"), F.count("copy").alias("improper"), F.sum("on_error").alias("on_error"), F.sum("errors").alias("errors")
+    ).withColumn("proper", F.coalesce("proper", F.lit(False)))
+
+
+def trusted(counts: DataFrame, values: DataFrame) -> DataFrame:
+    """(u, unit, kind) of the units that are residue by the labels of values."""
+    spark = counts.sparkSession
+    texts, errors = values.where("part = 'text' and text <> ''"), values.where("part = 'error' and text <> ''")
+    known = texts.where("trust is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum("trust"), F.lit(0)).alias("improper"))
+    fetched = errors.agg(F.count("*").alias("n_errors"), F.coalesce(F.sum(F.when(F.col("trust") == 1, 1)), F.lit(0)).alias("n_fetched"))
+    tests = counts.where("improper > 1 and not proper").agg(F.count("*").alias("tests"))
+    n, improper, n_errors, n_fetched, count = (*known.first(), *fetched.first(), tests.first()[0])
+    share = min(max(improper / max(n, 1), 1e-6), 0.999999)
+    least = int(np.ceil(np.log(CHANCE / max(count, 1)) / np.log(share)))
+    by_text = (F.col("improper") >= max(least, 2)) & (F.length("unit") > 1)
+    by_error = (F.col("kind") == "line") & (F.col("on_error") > 0) & (F.col("on_error") * F.lit(float(n_errors)) >= F.col("errors") * F.lit(TIMES * n_fetched))
+    seeds = units_of(spark.createDataFrame([(s,) for s in SEEDS], "text string")).select(_hash().alias("u"), "unit", "kind")
+    known = counts.where(~F.col("proper") & (by_text | by_error)).select("u", "unit", "kind")
+    return known.unionByName(seeds.join(counts.where("proper").select("u"), "u", "left_anti").join(known.select("u"), "u", "left_anti"))
+
+
+def simhash(units: list[str]) -> np.ndarray:
+    """64 bits of the letter triples of each unit (padded at both ends), a row of 0 and 1 for each."""
+    padded = [f"\x02{u}\x03\x03" for u in units]
+    sizes = np.array([len(p) for p in padded])
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    last = np.cumsum(sizes)
+    keep = np.ones(len(codes), dtype=bool)
+    keep[last - 1] = keep[last - 2] = False
+    nothing = np.zeros(2, dtype=np.uint64)
+    two, three = np.append(codes[1:], nothing[:1]), np.append(codes[2:], nothing)
+    with np.errstate(over="ignore"):
+        h = (codes * np.uint64(0x9E3779B97F4A7C15) ^ two * np.uint64(0xC2B2AE3D27D4EB4F) ^ three * np.uint64(0x165667B19E3779F9))[keep]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    grams = sizes - 2
+    begin = np.cumsum(grams) - grams
+    out = np.empty((len(units), 64), dtype=np.uint8)
+    for bit in range(64):
+        out[:, bit] = 2 * np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), begin) > grams
+    return out
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    powers = 1 << np.arange(BITS)
     for batch in batches:
-        yield pd.DataFrame({"u": batch["u"], "unit": batch["unit"], "trusted": batch["trusted"], "keys": [signature(t) for t in batch["unit"]]})
+        for lo in range(0, len(batch), 2_000):
+            part = batch.iloc[lo : lo + 2_000]
+            bits = simhash(part["unit"].tolist())
+            keys = [(bits[:, chosen] * powers).sum(axis=1) for chosen in _CHOSEN]
+            whole = np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
+            yield pd.DataFrame({"u": part["u"], "unit": part["unit"], "s": whole, "keys": list(np.stack(keys, axis=1).astype(np.int32))})
+
+
+def spread(labelled: DataFrame, others: DataFrame) -> DataFrame:
+    """(u) of the labelled units and of all that are linked to them, over any number of links; others has u and unit."""
+    signed = lambda df: df.select("u", "unit").mapInPandas(_sign, "u long, unit string, s long, keys array<int>")
+    found, new = labelled.select("u"), materialise(signed(labelled))
+    waiting = materialise(signed(others))
+    while True:
+        edge = new.agg(F.min(F.length("unit")), F.max(F.length("unit")), F.count("*")).first()
+        if not edge[2]:
+            return found
+        # an edit similarity of SIMILARITY bounds the ratio of the lengths
+        near = waiting.where(F.length("unit").between(int(edge[0] * SIMILARITY), int(edge[1] / SIMILARITY) + 1))
+        mine = new.select(F.col("s").alias("s1"), F.col("unit").alias("unit1"), F.posexplode("keys").alias("t", "k"))
+        theirs = near.select("u", "unit", "s", F.posexplode("keys").alias("t", "k"))
+        met = theirs.join(F.broadcast(mine) if edge[2] <= SMALL // TABLES else mine, ["t", "k"]).where(F.bit_count(F.col("s").bitwiseXOR(F.col("s1"))) <= HAMMING)
+        longest = F.greatest(F.length("unit"), F.length("unit1"))
+        alike = materialise(met.where(F.levenshtein("unit", "unit1") <= (1 - SIMILARITY) * longest).select("u").distinct())
+        found = found.unionByName(alike)
+        new = waiting.join(alike, "u", "left_semi")
+        waiting = waiting.join(alike, "u", "left_anti")
+
+
+def residue_units(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, trusted) of the lines and stretches that are residue, by their own label or through links; (unit) of the words confined to improper values."""
+    counts = materialise(unit_counts(values).where("(kind = 'line' and not proper) or improper > 0 or on_error > 0"))
+    seeds = materialise(trusted(counts, values))
+    lines = spread(seeds.where("kind = 'line'"), counts.where("kind = 'line' and not proper").join(seeds.select("u"), "u", "left_anti"))
+    linked = lines.join(seeds.select("u"), "u", "left_anti").select("u", F.lit(False).alias("trusted"))
+    return materialise(seeds.where("kind <> 'word'").select("u", F.lit(True).alias("trusted")).unionByName(linked)), seeds.where("kind = 'word'").select("unit")
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def residue_rows(values: DataFrame) -> DataFrame:
+    """(tab, id, trusted) of the rows that hold residue: trusted is false where only links to trusted units give the row.
+
+    values has tab, id, part ('text' or 'error'), text, trust (1 known to be improper, 0 to be proper, null) and copy (one
+    value for all copies of a page).
+    """
+    units, confined = residue_units(values)
+    texts = values.where("text <> ''").select("tab", "id", "text")
+    held = units_of(texts).select("tab", "id", _hash().alias("u")).join(_sent(units), "u").select("tab", "id", "trusted")
+    lines = texts.select("tab", "id", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).select("tab", "id", "at", F.filter(F.split("line", r"[^\p{L}]+"), lambda w: w != "").alias("words"))
+    words = lines.where(F.size("words") >= FILLER_WORDS).select("tab", "id", "at", F.size("words").alias("n"), F.explode("words").alias("unit"))
+    filler = words.join(_sent(confined), "unit").groupBy("tab", "id", "at").agg(F.count("*").alias("k"), F.first("n").alias("n")).where((F.col("k") >= FILLER_WORDS) & (F.col("k") >= FILLER_SHARE * F.col("n")))
+    return held.unionByName(filler.select("tab", "id", F.lit(True).alias("trusted"))).groupBy("tab", "id").agg(F.max("trusted").alias("trusted"))
+
+
+def page_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pages and captures and fetch errors, with what is known of them; copies of a page share their title."""
+    pages = table(spark, sf_dir, "research_pages")
+    labels = page_bodies(spark, sf_dir).select("tab", "id").distinct().withColumn("trust", F.lit(0)).unionByName(pages_without_body(spark, sf_dir).withColumn("trust", F.lit(1)))
+    copies = pages.select(F.lit("research_pages").alias("tab"), "id", F.col("id").alias("copy"))
+    texts = page_texts(spark, sf_dir).where("text <> ''").select("tab", "id", F.lit("text").alias("part"), "text").join(labels.join(copies, ["tab", "id"], "left"), ["tab", "id"], "left")
+    errors = pages.where("error <> ''").select(F.lit("research_pages").alias("tab"), "id", F.lit("error").alias("part"), F.col("error").alias("text"), F.when(F.col("status") == "fetched", 1).alias("trust"), F.lit(None).cast("long").alias("copy"))
+    return texts.select("tab", "id", "part", "text", "trust", "copy").unionByName(errors)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with residue of their own, and short units: (tab, id, sure, unit, trusted)."""
-    for batch in batches:
-        rows = []
-        for tab, i, text, error in zip(batch["tab"], batch["id"], batch["text"], batch["error"], strict=True):
-            if error:
-                unit = masked(error)
-                rows.append((tab, i, False, unit, trusted_residue(error)))
-            if not text or not text.strip():
-                continue
-            if _HINT.search(text) or _LATIN.search(text):
-                if (PLACEHOLDER.search(text) or FILLER.search(text) or _LATIN.search(text)) and any(is_residue(x) for x in text.split("\n")):
-                    rows.append((tab, i, True, None, True))
-                    rows += [(tab, i, False, masked(x), True) for x in text.split("\n") if FILLER.search(x) and len(x.split()) <= UNIT_WORDS]
-                    continue
-            _, lines, features, _ = page_nodes(text) if max(x.count(" ") for x in text.split("\n")) < UNIT_WORDS else (0, [], 0, 0)
-            rest = [x for x, f in zip(lines, features, strict=True) if trusted_label(x, f) != 1] if lines else []
-            if rest and sum(len(x.split()) for x in rest) <= UNIT_WORDS:
-                unit = masked("\n".join(rest))
-                rows.append((tab, i, False, unit, trusted_residue("\n".join(rest))))
-        yield pd.DataFrame(rows, columns=["tab", "id", "sure", "unit", "trusted"])
-
-
-def residue_rows(rows: DataFrame) -> DataFrame:
-    """(tab, id) of the rows that hold residue; rows has tab, id, text and error."""
-    kind = rows.schema["id"].dataType.simpleString()
-    found = materialise(rows.select("tab", "id", "text", "error").where("text <> '' or error <> ''").mapInPandas(_scan, f"tab string, id {kind}, sure boolean, unit string, trusted boolean"))
-    folded = found.where("not sure").groupBy(F.xxhash64("unit").alias("u")).agg(F.any_value("unit").alias("unit"), F.max("trusted").alias("trusted"))
-    units = materialise(folded.mapInPandas(_sign, "u long, unit string, trusted boolean, keys array<long>"))
-    tables = units.select("u", F.posexplode("keys").alias("table", "key"))
-    met = tables.select("table", "key", F.col("u").alias("a")).join(tables.select("table", "key", F.col("u").alias("b")), ["table", "key"]).where("a < b").select("a", "b").distinct()
-    close = met.join(units.select(F.col("u").alias("a"), F.col("unit").alias("ta")), "a").join(units.select(F.col("u").alias("b"), F.col("unit").alias("tb")), "b")
-    longest = F.greatest(F.length("ta"), F.length("tb"))
-    links = close.where(F.levenshtein("ta", "tb") <= (1 - SIMILARITY) * longest).select("a", "b")
-    parts = connected_components(links)
-    labelled = units.select("u", "trusted").join(parts.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
-    bad = labelled.groupBy("c").agg(F.max("trusted").alias("bad")).where("bad").select("c")
-    residue = labelled.join(bad, "c", "left_semi").select("u")
-    spread = found.where("not sure").withColumn("u", F.xxhash64("unit")).join(residue, "u", "left_semi").select("tab", "id")
-    return found.where("sure").select("tab", "id").unionByName(spread).distinct()
-
-
-def with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = table(spark, sf_dir, "research_pages").select(F.lit("research_pages").alias("tab"), "id", F.lit(None).cast("string").alias("text"), "error").where("error <> ''")
-    return page_texts(spark, sf_dir).select("tab", "id", "text", F.lit(None).cast("string").alias("error")).unionByName(errors)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_rows(page_values(spark, sf_dir)).select("tab", "id")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue_rows(with_errors(spark, sf_dir))
+def p3_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by table and route: units with a trusted label of their own, or only links to such."""
+    return residue_rows(page_values(spark, sf_dir)).groupBy("tab", "trusted").agg(F.count("*").alias("rows"))
 
 
 def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +210,5 @@ def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tab").agg(F.count("*").alias("rows")).join(kept, "tab", "left")
 
 
-QUERIES = {"p3_found": p3_found, "p3_kept": p3_kept}
+QUERIES = {"p3_found": p3_found, "p3_routes": p3_routes, "p3_kept": p3_kept}
 SQL: dict[str, str] = {}
-assert PSEUDO_LATIN
