@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.pages import BUCKETS, NAMES, SHAPES, buckets_of, features, page_bodies, page_lines, page_texts, pages_without_body, pairs_of
+from lodestone.llm.pages import BUCKETS, NAMES, SHAPES, buckets_of, features, page_bodies, page_lines, page_texts, pages_without_body, pairs_of, starts_of
 from lodestone.session import materialise
 
 #: Pages with a known body, and pages known to have none, that the trees may learn from.
@@ -125,8 +125,8 @@ def token_counts(sample: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens, sizes = buckets_of([s.strip() for s in batch["line"]])
-            both = np.concatenate([tokens, BUCKETS + pairs_of(tokens, sizes)])
-            line = np.tile(np.repeat(np.arange(len(sizes)), sizes), 2)
+            both = np.concatenate([tokens, BUCKETS + pairs_of(tokens, sizes), BUCKETS + starts_of(tokens, sizes)])
+            line = np.concatenate([np.tile(np.repeat(np.arange(len(sizes)), sizes), 2), np.arange(len(sizes))])
             once = pd.DataFrame({"line": line, "bucket": both}).drop_duplicates()
             yield pd.DataFrame({"bucket": once["bucket"], "label": batch["label"].to_numpy()[once["line"]], "fold": batch["fold"].to_numpy()[once["line"]]}).value_counts().rename("n").reset_index()
 
@@ -224,4 +224,4 @@ def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_main_text": p1_main_text}
 SQL: dict[str, str] = {}
-assert len(NAMES) == 53 - 1
+assert len(NAMES) == 54

@@ -23,7 +23,7 @@ BULLET = re.compile(r"[-*•→]\s")
 SHAPES = ("heading", "bullet", "table", "sentence", "label", "short")
 NAMES = (
     "words", "chars", "ends", "closed", "level", "digits", "capitals", "foreign", "links", "separators", "brackets", "colon", "symbol", *SHAPES,
-    "weight", "weight_mean", "weight_min", "weight_max", "first", "last", "pair_mean", "pair_min", "pair_max",
+    "weight", "weight_mean", "weight_min", "weight_max", "first", "last", "pair_mean", "pair_min", "pair_max", "begin", "end",
     "block_lines", "block_words", "block_weight", "block_place", "run_lines", "run_words", "run_weight", "head_weight", "head_distance", "head_level",
     "prev_weight", "next_weight", "prev_words", "next_words", "prev_closed", "next_closed", "prev2_weight", "next2_weight", "before_body", "after_body", "from_top", "from_end", "page_weight", "page_lines",
 )
@@ -105,6 +105,11 @@ def pairs_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (tokens * 0x9E3779B1 + following * 0x85EBCA6B) % BUCKETS
 
 
+def starts_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pair bucket of each line's beginning with its first token."""
+    return ((BUCKETS + 1) * 0x9E3779B1 + tokens[np.cumsum(sizes) - sizes] * 0x85EBCA6B) % BUCKETS
+
+
 def features(lines: Lines, weights: np.ndarray) -> np.ndarray:
     """A row of NAMES for each line; weights holds the log-odds of the token buckets, then those of the pair buckets."""
     count = len(lines.text)
@@ -129,7 +134,7 @@ def features(lines: Lines, weights: np.ndarray) -> np.ndarray:
     ]
     total = np.add.reduceat(single, begin)
     mean = total / sizes
-    learned = [total, mean, np.minimum.reduceat(single, begin), np.maximum.reduceat(single, begin), single[begin], single[begin + sizes - 1], np.add.reduceat(pair, begin) / sizes, np.minimum.reduceat(pair, begin), np.maximum.reduceat(pair, begin)]
+    learned = [total, mean, np.minimum.reduceat(single, begin), np.maximum.reduceat(single, begin), single[begin], single[begin + sizes - 1], np.add.reduceat(pair, begin) / sizes, np.minimum.reduceat(pair, begin), np.maximum.reduceat(pair, begin), weights[BUCKETS + starts_of(tokens, sizes)], pair[begin + sizes - 1]]
     place = np.arange(count)
     within = lambda key, x: (np.bincount(key, weights=x) / np.bincount(key))[key]
     first_of = lambda key: np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), place, 0))
