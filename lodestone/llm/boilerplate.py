@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.pages import BUCKETS, NAMES, SHAPES, buckets_of, features, page_bodies, page_lines, page_texts, pages_without_body, pairs_of, starts_of
+from lodestone.llm.pages import BUCKETS, NAMES, SHAPES, STRETCH, buckets_of, features, page_bodies, page_lines, page_texts, pages_without_body, pairs_of, starts_of
 from lodestone.session import materialise
 
 #: Pages with a known body, and pages known to have none, that the trees may learn from.
@@ -94,7 +94,7 @@ def decode(block: np.ndarray, run: np.ndarray, shape: np.ndarray, odds: np.ndarr
 
 
 def _key(line) -> F.Column:
-    return F.xxhash64(F.regexp_replace(F.lower(line), r"\d+", "0"))
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(line), STRETCH, "0"), r"\d+", "0"))
 
 
 def labelled_lines(pages: DataFrame, bodies: DataFrame, without: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.pages import page_bodies, page_texts, pages_without_body
+from lodestone.llm.pages import STRETCH, page_bodies, page_texts, pages_without_body
 from lodestone.session import materialise, table
 
 #: Expected number of units that are trusted by chance; how much more common than usual an error must be on fetched pages.
@@ -35,8 +35,6 @@ SEEDS = (
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "404 Not Found", "403 Forbidden", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout",
     "Page not found", "Access denied", "Please enable JavaScript to continue.", "You need to enable JavaScript to run this app.", "{{ name }}", "${name}", "<%= name %>", "{% if name %}", "[object Object]", "%s", "undefined",
 )
-#: A delimited stretch: braces, brackets, angle brackets, twin signs, format signs, the word for no value; with the backticks that quote it.
-STRETCH = r"`?(?:[$#%]?\{+[^{}\n]*\}+|\[+[^\[\]\n]*\]+(?!\()|<[%/!]?[A-Za-z=][^<>\n]*>|<%[^<>\n]*%>|(?<![\w$%])([$%_]{1,2})[A-Za-z]\w*?\1(?!\w)|(?<![\w%])%[sd]\b|(?<!\w)undefined(?!\w))`?"
 #: Words of a line, and share of them, that must be confined to improper values for the line to fold into the unit of filler.
 FILLER_WORDS, FILLER_SHARE = 5, 0.5
 _CHOSEN = np.array([np.random.default_rng(t).permutation(64)[:BITS] for t in range(TABLES)])
