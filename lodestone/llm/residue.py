@@ -40,10 +40,10 @@ FILLER_WORDS, FILLER_SHARE = 5, 0.5
 _CHOSEN = np.array([np.random.default_rng(t).permutation(64)[:BITS] for t in range(TABLES)])
 
 
-def masked_line(line) -> F.Column:
-    t = F.regexp_replace(F.lower(line), r"\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net)\b", "host")
-    t = F.regexp_replace(t, r"\b(?=[a-z]*\d)[0-9a-f]{6,}\b|\d+", "0")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+def masked(text) -> F.Column:
+    """Lower case, hosts, codes and numbers masked; lines stay apart."""
+    t = F.regexp_replace(F.lower(text), r"(?<![\w.-])[\w.-]++(?<=\.(?:example|com|org|net))", "host")
+    return F.regexp_replace(F.regexp_replace(t, r"(?<![a-z0-9])[0-9a-f]*[0-9][0-9a-f]*+(?![a-z0-9])|[0-9]+", "0"), r"[ \t\r]+", " ")
 
 
 def masked_stretch(stretch) -> F.Column:
@@ -52,16 +52,17 @@ def masked_stretch(stretch) -> F.Column:
     return F.when(stretch.rlike("^[A-Za-z]+$"), stretch).otherwise(masked)
 
 
-def _words() -> F.Column:
-    return F.transform(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda x: F.struct(F.lit("word").alias("kind"), x.alias("unit")))
-
-
-def units_of(values: DataFrame, words: bool = False) -> DataFrame:
-    """values with (kind, unit) of every line and stretch of its text, and of every word if asked, each once."""
-    each = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0))
-    lines = F.transform(each, lambda x: F.struct(F.lit("line").alias("kind"), masked_line(x).alias("unit")))
-    stretches = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(STRETCH), 0)), lambda x: F.struct(F.lit("stretch").alias("kind"), masked_stretch(x).alias("unit")))
-    return values.where("text <> ''").withColumn("each", F.explode(F.array_distinct(F.concat(lines, stretches, *([_words()] if words else []))))).select(*[c for c in values.columns if c != "text"], "each.*").where("unit <> ''")
+def units_of(values: DataFrame, words: F.Column | None = None) -> DataFrame:
+    """values with (kind, unit) of the lines and stretches of its text, and of the words of rows where `words` holds."""
+    kept = [c for c in values.columns if c != "text"]
+    of = lambda kind, units: F.transform(F.array_distinct(units), lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("unit")))
+    lines = of("line", F.split(masked("text"), "\n"))
+    found = F.regexp_extract_all("text", F.lit(STRETCH), 0)
+    stretches = F.transform(F.array_distinct(found), lambda x: F.struct(F.lit("stretch").alias("kind"), masked_stretch(x).alias("unit")))
+    parts = [lines, stretches]
+    if words is not None:
+        parts.append(F.when(words, of("word", F.split(F.lower("text"), r"[^\p{L}]+"))).otherwise(F.array().cast("array<struct<kind:string,unit:string>>")))
+    return values.where("text <> ''").select(*kept, F.explode(F.concat(*parts)).alias("each")).select(*kept, "each.kind", "each.unit").where("unit <> ''")
 
 
 def _hash() -> F.Column:
@@ -71,13 +72,14 @@ def _hash() -> F.Column:
 def unit_counts(values: DataFrame) -> DataFrame:
     """(u, kind, unit, proper, improper, on_error, errors): a row a unit; whether proper values have it, copies of improper ones that do, and its errors."""
     some = lambda c: F.when(c, F.lit(1))
-    part = units_of(values, words=True).withColumn("u", _hash())
+    part = units_of(values, words=F.col("trust").isNotNull()).withColumn("u", _hash())
     copy = F.when((F.col("trust") == 1) & (F.col("part") == "text"), F.col("copy"))
+    text = F.when(F.coalesce("trust", F.lit(1)) == 1, F.col("unit"))  # that of proper values is not needed
     first = part.groupBy("u", copy.alias("copy")).agg(
-        F.any_value("kind").alias("kind"), F.any_value("unit").alias("unit"), F.max(some(F.col("trust") == 0)).alias("proper"), F.count(some((F.col("part") == "error") & (F.col("trust") == 1))).alias("on_error"), F.count(some(F.col("part") == "error")).alias("errors")
+        F.first("kind").alias("kind"), F.first(text, ignorenulls=True).alias("unit"), F.max(some(F.col("trust") == 0)).alias("proper"), F.count(some((F.col("part") == "error") & (F.col("trust") == 1))).alias("on_error"), F.count(some(F.col("part") == "error")).alias("errors")
     )
     return first.groupBy("u").agg(
-        F.any_value("kind").alias("kind"), F.any_value("unit").alias("unit"), (F.max("proper") == 1).alias("proper"), F.count("copy").alias("improper"), F.sum("on_error").alias("on_error"), F.sum("errors").alias("errors")
+        F.first("kind").alias("kind"), F.first("unit", ignorenulls=True).alias("unit"), (F.max("proper") == 1).alias("proper"), F.count("copy").alias("improper"), F.sum("on_error").alias("on_error"), F.sum("errors").alias("errors")
     ).withColumn("proper", F.coalesce("proper", F.lit(False)))
 
 
@@ -174,7 +176,7 @@ def residue_rows(values: DataFrame) -> DataFrame:
     value for all copies of a page).
     """
     units, confined = residue_units(values)
-    texts = values.where("text <> ''").select("tab", "id", "text")
+    texts = values.where("text <> '' and coalesce(trust, 1) = 1").select("tab", "id", "text")  # no unit of a proper value is residue
     held = units_of(texts).select("tab", "id", _hash().alias("u")).join(_sent(units), "u").select("tab", "id", "trusted")
     lines = texts.select("tab", "id", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).select("tab", "id", "at", F.filter(F.split("line", r"[^\p{L}]+"), lambda w: w != "").alias("words"))
     words = lines.where(F.size("words") >= FILLER_WORDS).select("tab", "id", "at", F.size("words").alias("n"), F.explode("words").alias("unit"))
