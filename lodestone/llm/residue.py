@@ -55,14 +55,11 @@ def masked_stretch(stretch) -> F.Column:
 def units_of(values: DataFrame, words: F.Column | None = None) -> DataFrame:
     """values with (kind, unit) of the lines and stretches of its text, and of the words of rows where `words` holds."""
     kept = [c for c in values.columns if c != "text"]
-    of = lambda kind, units: F.transform(F.array_distinct(units), lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("unit")))
-    lines = of("line", F.split(masked("text"), "\n"))
-    found = F.regexp_extract_all("text", F.lit(STRETCH), 0)
-    stretches = F.transform(F.array_distinct(found), lambda x: F.struct(F.lit("stretch").alias("kind"), masked_stretch(x).alias("unit")))
-    parts = [lines, stretches]
-    if words is not None:
-        parts.append(F.when(words, of("word", F.split(F.lower("text"), r"[^\p{L}]+"))).otherwise(F.array().cast("array<struct<kind:string,unit:string>>")))
-    return values.where("text <> ''").select(*kept, F.explode(F.concat(*parts)).alias("each")).select(*kept, "each.kind", "each.unit").where("unit <> ''")
+    some = lambda c: F.array_distinct(c).cast("array<string>")
+    word = F.when(words if words is not None else F.lit(False), some(F.split(F.lower("text"), r"[^\p{L}]+")))
+    raw = values.where("text <> ''").select(*kept, some(F.split(masked("text"), "\n")).alias("l"), some(F.regexp_extract_all("text", F.lit(STRETCH), 0)).alias("s"), word.alias("w"))
+    each = raw.select(*kept, F.stack(F.lit(3), F.lit("line"), "l", F.lit("stretch"), "s", F.lit("word"), "w").alias("kind", "units")).select(*kept, "kind", F.explode("units").alias("unit"))
+    return each.withColumn("unit", F.when(F.col("kind") == "stretch", masked_stretch(F.col("unit"))).otherwise(F.trim("unit"))).where("unit <> ''")
 
 
 def _hash() -> F.Column:
@@ -74,12 +71,13 @@ def unit_counts(values: DataFrame) -> DataFrame:
     some = lambda c: F.when(c, F.lit(1))
     part = units_of(values, words=F.col("trust").isNotNull()).withColumn("u", _hash())
     copy = F.when((F.col("trust") == 1) & (F.col("part") == "text"), F.col("copy"))
-    text = F.when(F.coalesce("trust", F.lit(1)) == 1, F.col("unit"))  # that of proper values is not needed
-    first = part.groupBy("u", copy.alias("copy")).agg(
-        F.first("kind").alias("kind"), F.first(text, ignorenulls=True).alias("unit"), F.max(some(F.col("trust") == 0)).alias("proper"), F.count(some((F.col("part") == "error") & (F.col("trust") == 1))).alias("on_error"), F.count(some(F.col("part") == "error")).alias("errors")
+    # the text is a key, so that rows are hashed, not sorted; that of proper values is not needed
+    text = F.when(F.coalesce("trust", F.lit(1)) == 1, F.col("unit")).alias("unit")
+    first = part.groupBy("u", "kind", text, copy.alias("copy")).agg(
+        F.max(some(F.col("trust") == 0)).alias("proper"), F.count(some((F.col("part") == "error") & (F.col("trust") == 1))).alias("on_error"), F.count(some(F.col("part") == "error")).alias("errors")
     )
-    return first.groupBy("u").agg(
-        F.first("kind").alias("kind"), F.first("unit", ignorenulls=True).alias("unit"), (F.max("proper") == 1).alias("proper"), F.count("copy").alias("improper"), F.sum("on_error").alias("on_error"), F.sum("errors").alias("errors")
+    return first.groupBy("u", "kind").agg(
+        F.first("unit", ignorenulls=True).alias("unit"), (F.max("proper") == 1).alias("proper"), F.count("copy").alias("improper"), F.sum("on_error").alias("on_error"), F.sum("errors").alias("errors")
     ).withColumn("proper", F.coalesce("proper", F.lit(False)))
 
 
