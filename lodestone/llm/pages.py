@@ -21,7 +21,7 @@ BUCKETS = 1 << 15
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 BULLET = re.compile(r"[-*•→]\s")
 #: A delimited stretch: braces, brackets, angle brackets, twin signs, format signs, the word for no value; with the backticks that quote it.
-STRETCH = r"`?(?:[$#%]?\{+[^{}\n]*\}+|\[+[^\[\]\n]*\]+(?!\()|<[%/!]?[A-Za-z=][^<>\n]*>|<%[^<>\n]*%>|(?<![\w$%])([$%_]{1,2})[A-Za-z]\w*?\1(?!\w)|(?<![\w%])%[sd]\b|(?<!\w)undefined(?!\w))`?"
+STRETCH = r"(?=[`$#%{\[<_u])`?(?:[$#%]?\{+[^{}\n]*\}+|\[+[^\[\]\n]*\]+(?!\()|<[%/!]?[A-Za-z=][^<>\n]*>|<%[^<>\n]*%>|(?<![\w$%])([$%_]{1,2})[A-Za-z]\w*?\1(?!\w)|(?<![\w%])%[sd]\b|(?<!\w)undefined(?!\w))`?"
 SHAPES = ("heading", "bullet", "table", "sentence", "label", "short")
 NAMES = (
     "words", "chars", "ends", "closed", "level", "digits", "capitals", "foreign", "links", "separators", "brackets", "colon", "symbol", *SHAPES,

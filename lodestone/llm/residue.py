@@ -3,8 +3,9 @@
 Texts and fetch errors are taken apart into units: lines, delimited stretches (between braces, brackets or twin signs) and
 words, masked (numbers, codes, hosts; letters of a stretch) and folded.  Trusted labels come from values known to be proper
 (pages whose body is known) or improper (pages that were fetched but have no body, errors of pages that were fetched):
-a unit is trusted residue if no proper page has it and it comes in more copies of improper ones than chance allows, over all
-such units (``CHANCE``); an error's, if it is on fetched pages ``TIMES`` as often as errors are.  A few well-known wordings
+lines of improper values are joined to components of near-duplicates, and a component without lines of proper pages is
+trusted residue if it comes in more improper pages than chance allows, over all components (``CHANCE``); an error's, if it is
+on fetched pages ``TIMES`` as often as errors are.  A few well-known wordings
 (``SEEDS``) are trusted too.  Labels spread from unit to unit through near-duplicate links until none is new, which labels
 the components that hold a trusted unit: lines meet in ``TABLES`` partitions of SimHash bits, and a link needs a Hamming
 distance of ``HAMMING`` at most and an edit similarity of ``SIMILARITY``.  A unit of a proper page is never labelled.
@@ -13,7 +14,9 @@ Rows are residue by their units alone.  Null and empty texts and errors are no c
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.pages import STRETCH, page_bodies, page_texts, pages_without_body
+from lodestone.operators.components import connected_components
 from lodestone.session import materialise, table
 
-#: Expected number of units that are trusted by chance; how much more common than usual an error must be on fetched pages.
-CHANCE, TIMES = 0.01, 2.0
+#: Expected number of units of a kind that are trusted by chance; how much more common than usual an error must be on fetched pages.
+CHANCE, TIMES = 0.05, 2.0
 SIMILARITY, HAMMING = 0.8, 14
 #: Partitions of sampled SimHash bits, and bits of each.
 TABLES, BITS = 40, 14
+#: Bits of each partition where the lines of improper values meet each other.
+POOL_BITS = 24
 #: Labelled units are sent to all tasks up to this number; more are joined.
 SMALL = 200_000
 #: Well-known wording of filler and of servers, trusted without evidence.
@@ -37,13 +43,13 @@ SEEDS = (
 )
 #: Words of a line, and share of them, that must be confined to improper values for the line to fold into the unit of filler.
 FILLER_WORDS, FILLER_SHARE = 5, 0.5
-_CHOSEN = np.array([np.random.default_rng(t).permutation(64)[:BITS] for t in range(TABLES)])
+_CHOSEN = np.array([np.random.default_rng(t).permutation(64) for t in range(TABLES)])
 
 
 def masked(text) -> F.Column:
     """Lower case, hosts, codes and numbers masked; lines stay apart."""
-    t = F.regexp_replace(F.lower(text), r"(?<![\w.-])[\w.-]++(?<=\.(?:example|com|org|net))", "host")
-    return F.regexp_replace(F.regexp_replace(t, r"(?<![a-z0-9])[0-9a-f]*[0-9][0-9a-f]*+(?![a-z0-9])|[0-9]+", "0"), r"[ \t\r]+", " ")
+    t = F.regexp_replace(F.lower(text), r"(?<![\w-])(?:[\w-]++\.)+(?:example|com|org|net)\b", "host")
+    return F.regexp_replace(F.regexp_replace(t, r"(?<![a-z0-9])[0-9a-f]*[0-9][0-9a-f]*+(?![a-z0-9])|[0-9]+", "0"), r"[ \t\r]{2,}|[\t\r]", " ")
 
 
 def masked_stretch(stretch) -> F.Column:
@@ -82,19 +88,23 @@ def unit_counts(values: DataFrame) -> DataFrame:
 
 
 def trusted(counts: DataFrame, values: DataFrame) -> DataFrame:
-    """(u, unit, kind) of the units that are residue by the labels of values."""
+    """(u, unit, kind, alone) of the units that are residue by the labels of values; alone is false where only the unit's component gives it."""
     spark = counts.sparkSession
+    group = counts.join(pooled(counts), "u", "left").withColumn("c", F.coalesce("c", "u"))
+    whole = group.groupBy("c").agg(*(F.sum(x).alias(f"all_{x}") for x in ("improper", "on_error", "errors")))
+    group = materialise(group.where("not proper").join(whole, "c"))
     texts, errors = values.where("part = 'text' and text <> ''"), values.where("part = 'error' and text <> ''")
     known = texts.where("trust is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum("trust"), F.lit(0)).alias("improper"))
     fetched = errors.agg(F.count("*").alias("n_errors"), F.coalesce(F.sum(F.when(F.col("trust") == 1, 1)), F.lit(0)).alias("n_fetched"))
-    tests = counts.where("improper > 1 and not proper").agg(F.count("*").alias("tests"))
-    n, improper, n_errors, n_fetched, count = (*known.first(), *fetched.first(), tests.first()[0])
+    tests = group.where("all_improper > 1").groupBy("kind").agg(F.count_distinct("c").alias("n"))
+    n, improper, n_errors, n_fetched = (*known.first(), *fetched.first())
     share = min(max(improper / max(n, 1), 1e-6), 0.999999)
-    least = int(np.ceil(np.log(CHANCE / max(count, 1)) / np.log(share)))
-    by_text = (F.col("improper") >= max(least, 2)) & (F.length("unit") > 1)
-    by_error = (F.col("kind") == "line") & (F.col("on_error") > 0) & (F.col("on_error") * F.lit(float(n_errors)) >= F.col("errors") * F.lit(TIMES * n_fetched))
-    seeds = units_of(spark.createDataFrame([(s,) for s in SEEDS], "text string")).select(_hash().alias("u"), "unit", "kind")
-    known = counts.where(~F.col("proper") & (by_text | by_error)).select("u", "unit", "kind")
+    least = {r.kind: max(2, int(np.ceil(np.log(CHANCE / r.n) / np.log(share)))) for r in tests.collect()}  # a row a kind
+    enough = lambda n: reduce(operator.or_, [(F.col("kind") == k) & (n >= m) for k, m in least.items()], F.lit(False)) & (F.length("unit") > 1)
+    often = lambda on, n: (F.col("kind") == "line") & (on > 0) & (on * F.lit(float(n_errors)) >= n * F.lit(TIMES * n_fetched))
+    seeds = units_of(spark.createDataFrame([(s,) for s in SEEDS], "text string")).select(_hash().alias("u"), "unit", "kind", F.lit(True).alias("alone"))
+    alone = enough(F.col("improper")) | often(F.col("on_error"), F.col("errors"))
+    known = group.where(alone | enough(F.col("all_improper")) | often(F.col("all_on_error"), F.col("all_errors"))).select("u", "unit", "kind", alone.alias("alone"))
     return known.unionByName(seeds.join(counts.where("proper").select("u"), "u", "left_anti").join(known.select("u"), "u", "left_anti"))
 
 
@@ -121,20 +131,35 @@ def simhash(units: list[str]) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    powers = 1 << np.arange(BITS)
-    for batch in batches:
-        for lo in range(0, len(batch), 2_000):
-            part = batch.iloc[lo : lo + 2_000]
-            bits = simhash(part["unit"].tolist())
-            keys = [(bits[:, chosen] * powers).sum(axis=1) for chosen in _CHOSEN]
-            whole = np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
-            yield pd.DataFrame({"u": part["u"], "unit": part["unit"], "s": whole, "keys": list(np.stack(keys, axis=1).astype(np.int32))})
+def signed(units: DataFrame, width: int = BITS) -> DataFrame:
+    """(u, unit, s, keys): the SimHash of each unit and its key in each partition."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = 1 << np.arange(width)
+        for batch in batches:
+            for lo in range(0, len(batch), 2_000):
+                part = batch.iloc[lo : lo + 2_000]
+                bits = simhash(part["unit"].tolist())
+                keys = [bits[:, chosen[:width]] @ powers for chosen in _CHOSEN]
+                whole = np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
+                yield pd.DataFrame({"u": part["u"], "unit": part["unit"], "s": whole, "keys": list(np.stack(keys, axis=1).astype(np.int32))})
+
+    return units.select("u", "unit").mapInPandas(sign, "u long, unit string, s long, keys array<int>")
+
+
+def pooled(counts: DataFrame) -> DataFrame:
+    """(u, c): the component of near-duplicates of every line of improper values that has any; equal keys meet in 24 bits, so that few unlike lines do."""
+    lines = materialise(signed(counts.where("kind = 'line' and not proper and (improper > 0 or on_error > 0)"), POOL_BITS))
+    keyed = lines.select("u", "s", F.length("unit").alias("n"), F.posexplode("keys").alias("t", "k"))
+    left, right = (keyed.select("t", "k", F.col("u").alias(f"u{i}"), F.col("s").alias(f"s{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    met = left.join(right, ["t", "k"]).where((F.col("u1") < F.col("u2")) & (F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) <= HAMMING) & (F.least("n1", "n2") >= SIMILARITY * F.greatest("n1", "n2")))
+    text = [lines.select(F.col("u").alias(f"u{i}"), F.col("unit").alias(f"unit{i}")) for i in (1, 2)]
+    links = met.select("u1", "u2").distinct().join(text[0], "u1").join(text[1], "u2").where(F.levenshtein("unit1", "unit2") <= (1 - SIMILARITY) * F.greatest(F.length("unit1"), F.length("unit2")))
+    return connected_components(links, "u1", "u2").select(F.col("node").alias("u"), F.col("component").alias("c"))
 
 
 def spread(labelled: DataFrame, others: DataFrame) -> DataFrame:
     """(u) of the labelled units and of all that are linked to them, over any number of links; others has u and unit."""
-    signed = lambda df: df.select("u", "unit").mapInPandas(_sign, "u long, unit string, s long, keys array<int>")
     found, new = labelled.select("u"), materialise(signed(labelled))
     waiting = materialise(signed(others))
     while True:
@@ -159,7 +184,7 @@ def residue_units(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = materialise(trusted(counts, values))
     lines = spread(seeds.where("kind = 'line'"), counts.where("kind = 'line' and not proper").join(seeds.select("u"), "u", "left_anti"))
     linked = lines.join(seeds.select("u"), "u", "left_anti").select("u", F.lit(False).alias("trusted"))
-    return materialise(seeds.where("kind <> 'word'").select("u", F.lit(True).alias("trusted")).unionByName(linked)), seeds.where("kind = 'word'").select("unit")
+    return materialise(seeds.where("kind <> 'word'").select("u", F.col("alone").alias("trusted")).unionByName(linked)), seeds.where("kind = 'word'").select("unit")
 
 
 def _sent(df: DataFrame) -> DataFrame:
