@@ -192,13 +192,15 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def residue_rows(values: DataFrame) -> DataFrame:
+def residue_rows(values: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(tab, id, trusted) of the rows that hold residue: trusted is false where only links to trusted units give the row.
 
     values has tab, id, part ('text' or 'error'), text, trust (1 known to be improper, 0 to be proper, null) and copy (one
-    value for all copies of a page).
+    value for all copies of a page).  Labels come from all values; with `only` (tab, id) just those rows are looked up.
     """
     units, confined = residue_units(values)
+    if only is not None:
+        values = values.join(_sent(only), ["tab", "id"], "left_semi")
     texts = values.where("text <> '' and coalesce(trust, 1) = 1").select("tab", "id", "text")  # no unit of a proper value is residue
     held = units_of(texts).select("tab", "id", _hash().alias("u")).join(_sent(units), "u").select("tab", "id", "trusted")
     lines = texts.select("tab", "id", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).select("tab", "id", "at", F.filter(F.split("line", r"[^\p{L}]+"), lambda w: w != "").alias("words"))

@@ -107,15 +107,15 @@ def _source(*columns: str) -> F.Column:
     return F.xxhash64(*[F.coalesce(c, F.lit("")) for c in columns])
 
 
-def judged(rows: DataFrame, residue: DataFrame, model: Model | None) -> DataFrame:
-    """The rows with text and without residue, with how they end (`tail`), whether their length is a field limit (`limit`) and why they count as cut (`reason`, or null); rows has tab, id, host, scraper and text."""
+def judged(rows: DataFrame, values: DataFrame, model: Model | None) -> DataFrame:
+    """The rows with text, with how they end (`tail`), whether their length is a field limit (`limit`) and why they count as cut (`reason`, or null); rows has tab, id, host, scraper and text, values those of residue_rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def ends(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(tails_of(texts.tolist(), shared.value), columns=["tail", "furniture", "last"])
 
     scored = rows.where("text <> ''").select("tab", "id", "host", "scraper", F.length("text").alias("n"), F.pandas_udf(ends, "tail string, furniture boolean, last string")("text").alias("end"))
-    tails = materialise(scored.select("tab", "id", "host", "scraper", "n", "end.tail", "end.furniture", F.xxhash64("end.last").alias("last")).join(residue.select("tab", "id"), ["tab", "id"], "left_anti"))
+    tails = materialise(scored.select("tab", "id", "host", "scraper", "n", "end.tail", "end.furniture", F.xxhash64("end.last").alias("last")))
     footers = tails.where("furniture").groupBy("last").agg(F.count_distinct("n").alias("lengths")).where(F.col("lengths") >= RECURS).select("last", F.lit(True).alias("footer"))
     sources = F.explode(F.array(_source("tab"), _source("tab", "host", "scraper"))).alias("source")
     limits = field_limits(tails.select(sources, "n")).select("source", "n").distinct()
@@ -123,12 +123,14 @@ def judged(rows: DataFrame, residue: DataFrame, model: Model | None) -> DataFram
     footer = F.coalesce("footer", F.lit(False)) & F.col("furniture")
     reason = F.when(footer | (F.col("tail") == "closed"), None).when(F.col("tail") == "mark", "mark").when(F.col("limit"), "limit").when((F.col("tail") == "open") & ~F.col("furniture"), "transfer")
     marked = tails.join(at_limit, ["tab", "id"], "left").join(footers, "last", "left").withColumn("limit", F.coalesce("at", F.lit(False)))
-    return marked.select("tab", "id", "host", "scraper", "n", "tail", "furniture", "limit", reason.alias("reason"))
+    found = materialise(marked.select("tab", "id", "host", "scraper", "n", "tail", "furniture", "limit", reason.alias("why")))
+    residue = residue_rows(values, found.where("why is not null").select("tab", "id").distinct()).select("tab", "id", F.lit(True).alias("residue"))
+    return found.join(residue, ["tab", "id"], "left").withColumn("reason", F.when(F.col("residue").isNull(), F.col("why"))).drop("why", "residue")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = page_texts(spark, sf_dir)
-    return judged(rows, residue_rows(page_values(spark, sf_dir)), fit_model(rows, page_bodies(spark, sf_dir), pages_without_body(spark, sf_dir)))
+    return judged(rows, page_values(spark, sf_dir), fit_model(rows, page_bodies(spark, sf_dir), pages_without_body(spark, sf_dir)))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +138,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each table, host and scraper: all its rows, rows with text and without residue, cut rows by reason, and the share of its rows that are cut."""
+    """For each table, host and scraper: all its rows, rows with text, cut rows by reason, and the share of its rows that are cut."""
     key = ["tab", "host", "scraper"]
     cut = lambda why: F.coalesce(F.count_if(F.col("reason") == why), F.lit(0)).alias(why)
-    found = _judged(spark, sf_dir).groupBy(*key).agg(F.count("*").alias("judged"), cut("limit"), cut("mark"), cut("transfer"), F.count_if(F.col("reason").isNotNull()).alias("cut"))
+    found = _judged(spark, sf_dir).groupBy(*key).agg(F.count("*").alias("with_text"), cut("limit"), cut("mark"), cut("transfer"), F.count_if(F.col("reason").isNotNull()).alias("cut"))
     return page_texts(spark, sf_dir).groupBy(*key).agg(F.count("*").alias("rows")).join(found, key, "left").na.fill(0).withColumn("share", F.col("cut") / F.col("rows"))
 
 
