@@ -40,9 +40,11 @@ def product_key(name: Column) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    """A date in ISO form, day/month/year, or with an English month name; null for anything else."""
-    formats = ("yyyy-MM-dd", "dd/MM/yyyy", "dd MMM yyyy", "MMMM dd, yyyy")
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    """A date in ISO form (with or without a time, whose own day counts), day/month/year, else month/day/year, or with an English month name; null for anything else."""
+    t = F.trim(text)
+    iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$", 1)
+    formats = ("d/M/yyyy", "M/d/yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy")
+    return F.coalesce(F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))), *[F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in formats])
 
 
 def rounded(value: Column, digits: int = 4) -> Column:

@@ -20,13 +20,22 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
 
 
+def _encoded(part: Column) -> Column:
+    """A query part decoded and written again in one form: blanks as +, all but letters, digits and _.-~ escaped."""
+    plain = F.coalesce(F.try_url_decode(part), part)
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical(url: Column) -> Column:
-    """Without fragment, tracking parameters and trailing slashes; null stays null."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    base, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^([^=]*)", 1).isin(*TRACKING))
-    trimmed = F.regexp_replace(base, "/+$", "")
-    return F.when(F.size(kept) > 0, F.concat(trimmed, F.lit("?"), F.array_join(kept, "&"))).otherwise(trimmed)
+    """Scheme and authority in lower case (https where none is given), path without trailing slashes (/ at least), query
+    parameters in order and in one encoding without those that only track; no fragment. Null stays null."""
+    part = lambda k: F.regexp_extract(F.trim(url), r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", k)
+    scheme, trimmed = F.lower(part(1)), F.regexp_replace(F.regexp_replace(part(3), ";[^/]*$", ""), "/+$", "")
+    path_of = F.when(trimmed == "", F.lit("/")).when(trimmed.startswith("/"), trimmed).otherwise(F.concat(F.lit("/"), trimmed))
+    pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p != ""), lambda p: F.concat_ws("=", _encoded(F.regexp_extract(p, "^([^=]*)", 1)), _encoded(F.regexp_extract(p, "^[^=]*=?(.*)$", 1))))
+    kept = F.filter(pairs, lambda p: ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(*TRACKING))
+    whole = F.concat(F.when(scheme == "", F.lit("https")).otherwise(scheme), F.lit("://"), F.lower(part(2)), path_of)
+    return F.when(F.size(kept) > 0, F.concat(whole, F.lit("?"), F.array_join(kept, "&"))).otherwise(whole)
 
 
 def host_suffixes(name: Column) -> Column:

@@ -11,31 +11,40 @@ from lodestone.functions.text import rounded, tokens
 from lodestone.operators.series import top_k
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, term, tf, doc_len), one row a document and term."""
-    words = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t"))
-    return words.select("doc", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-
-
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     """(query, term, n_terms)."""
     t = queries.select(F.col(key).alias("query"), F.array_distinct(tokens(F.col(text))).alias("t"))
     return t.select("query", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
 
 
+#: Distinct query words up to which they are sent to all tasks; more are joined.
+SMALL = 200_000
+
+
+def query_postings(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(doc, term, tf, doc_len) of the words that any query holds: other words are dropped where they are read, before any shuffle."""
+    asked = terms.select("term").distinct()
+    words = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).select("doc", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+    met = words.join(F.broadcast(asked) if asked.count() <= SMALL else asked, "term", "left_semi")
+    return met.groupBy("doc", "term", "doc_len").agg(F.count("*").alias("tf"))
+
+
 def lexical_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str) -> DataFrame:
     """(query, doc, score): three quarters of the capped hits a term plus 2.5 times their density, at most 1. Only pairs that share a term."""
-    met = postings(docs, key, text).join(query_terms(queries, q_key, q_text), "term")
+    terms = query_terms(queries, q_key, q_text)
+    met = query_postings(docs, key, text, terms).join(terms, "term")
     hits = met.groupBy("query", "doc").agg(F.sum(F.least("tf", F.lit(5))).alias("hits"), F.first("n_terms").alias("n"), F.first("doc_len").alias("len"))
     return hits.select("query", "doc", F.least(F.lit(1.0), rounded(0.75 * F.col("hits") / F.col("n") + 2.5 * F.col("hits") / F.col("len"))).alias("score"))
 
 
 def bm25_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score) of Okapi BM25 with statistics over the whole corpus. Only pairs that share a term."""
-    index = postings(docs, key, text)
-    stats = index.select("doc", "doc_len").distinct().agg(F.avg("doc_len").alias("avg_len")).crossJoin(docs.agg(F.count("*").alias("n_docs")))  # one row
+    terms = query_terms(queries, q_key, q_text)
+    index = query_postings(docs, key, text, terms)
+    length = F.size(tokens(F.col(text)))
+    stats = docs.agg(F.avg(F.when(length > 0, length)).alias("avg_len"), F.count("*").alias("n_docs"))  # one row
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    met = index.join(query_terms(queries, q_key, q_text), "term").join(df, "term").crossJoin(F.broadcast(stats))
+    met = index.join(terms.join(df, "term"), "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
     return met.groupBy("query", "doc").agg(F.sum(weight).alias("score"))

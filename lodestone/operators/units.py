@@ -4,7 +4,7 @@ A random forest predicts how an offer's price is recorded (whole units, minor un
 another currency than the one named) from its magnitude, source (region, currency), category and neighbours: the other rows of
 the listing and of the product.  Its labels are the offers whose title spells the amount out; at most ``TRAIN_ROWS`` of
 them for each class are learned from, a quarter of which calibrate the confidence (isotonic).  Confident predictions are
-converted, the rest is routed to review.  A title that spells the amount out is then read as it stands.
+converted; the rest is routed to review, without an amount.  A title that spells the amount out is then read as it stands.
 
 Rates and dollar values are checked against the rate table.  Null or unknown currencies are read from the title or the
 region.  A null price or a price of 0 has unit ``whole``; null rates and dollar values are filled, never flagged.
@@ -139,9 +139,9 @@ def fit(rows: DataFrame, seed: int = 7) -> tuple[PipelineModel, object]:
     columns = VectorAssembler(inputCols=names, outputCol="features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, weightCol="weight", featureSubsetStrategy="0.6").fit(columns.transform(sample.where("not held")))
     model = PipelineModel([columns, forest])
-    held = model.transform(sample.where("held")).select(F.array_max(vector_to_array("probability")).alias("p"), (F.col("prediction") == F.col("label")).cast("double").alias("right"))
-    calibration = IsotonicRegression(featuresCol="p", labelCol="right").fit(held) if held.limit(1).count() else None
-    return model, calibration
+    held = materialise(model.transform(sample.where("held")).select(F.array_max(vector_to_array("probability")).alias("p"), (F.col("prediction") == F.col("label")).cast("double").alias("right")))
+    least = held.agg(F.min("p")).first()[0]
+    return model, None if least is None else (IsotonicRegression(featuresCol="p", labelCol="right").fit(held), least)
 
 
 def predicted(rows: DataFrame) -> DataFrame:
@@ -153,7 +153,10 @@ def predicted(rows: DataFrame) -> DataFrame:
         return rows.withColumn("unit", F.coalesce("label", F.lit(0.0))).withColumn("confidence", F.lit(0.0)).withColumn("source", F.when(F.col("label").isNotNull(), "title").otherwise("none"))
     guessed = model.transform(rows).withColumn("p", F.array_max(vector_to_array("probability")))
     if calibration is not None:
-        guessed = calibration.setPredictionCol("confidence").transform(guessed)
+        isotonic, least = calibration
+        guessed = isotonic.setPredictionCol("confidence").transform(guessed)
+        # less sure than anything calibration has seen: the forest's own share of votes counts
+        guessed = guessed.withColumn("confidence", F.when(F.col("p") < least, F.least("p", "confidence")).otherwise(F.col("confidence")))
     else:
         guessed = guessed.withColumn("confidence", F.col("p"))
     told = F.col("label").isNotNull() & priced
@@ -166,11 +169,16 @@ def predicted(rows: DataFrame) -> DataFrame:
 
 def checked(offers: DataFrame, rates: DataFrame) -> DataFrame:
     """Every offer once with what was recorded, the faults found, and its amount in whole units and in US dollars."""
-    rows = predicted(features(offers, rates))
+    return converted(predicted(features(offers, rates)))
+
+
+def converted(rows: DataFrame) -> DataFrame:
+    """Rows of `predicted` with their faults and amounts; a row routed to review has no amount and no fault that needs one."""
+    review = (F.col("source") == "forest") & (F.coalesce("confidence", F.lit(0.0)) < CONFIDENT)
     known = F.col("currency").isin(*REGION_CURRENCY.values())
     unit = F.col("unit").cast("int")
     scale = F.element_at(F.array(*[F.lit(s) for s in SCALE]), unit + 1)
-    amount = F.col("price") * scale
+    amount = F.when(~review, F.col("price") * scale)
     iso = F.when(F.coalesce(known, F.lit(False)) & (unit != 4), F.col("currency")).otherwise(F.coalesce("t_currency", "home", _lookup(CURRENCY_NAMES, F.lower("currency")), F.upper("currency")))
     rate_of = F.when(F.coalesce(known, F.lit(False)) & (unit != 4), F.col("rate")).otherwise(F.col("home_rate"))
     off = lambda a, b, least: F.coalesce(F.abs(a - b) > least + 2e-5 * F.abs(b), F.lit(False))
@@ -178,9 +186,9 @@ def checked(offers: DataFrame, rates: DataFrame) -> DataFrame:
         "id", "canonical_url", F.col("price").alias("recorded"), F.col("currency").alias("recorded_currency"),
         F.element_at(F.array(*[F.lit(u) for u in UNITS]), unit + 1).alias("unit"), "source", "confidence",
         (~F.coalesce(known, F.lit(False))).alias("bad_currency"),
-        (unit != 0).alias("bad_price"),
+        ((unit != 0) & ~review).alias("bad_price"),
         off(F.col("exchange_rate"), F.col("rate"), 0.0).alias("bad_rate"),
         off(F.col("normalized_price_usd"), amount * rate_of, 0.0051).alias("bad_usd"),
         amount.alias("amount"), iso.alias("iso_currency"), (amount * rate_of).alias("amount_usd"),
-        ((F.col("confidence") < CONFIDENT) & (F.col("source") == "forest")).alias("review"),
+        review.alias("review"),
     )

@@ -102,11 +102,13 @@ struct_pack(price := price, currency := currency, seller := seller, availability
 
 
 def upsert_reviews(spark, d):
+    """The last version of every review; versions of one time and run by text, rating and name, greatest last."""
     r = table(spark, d, "reviews").select("id", "product_name", "rating", "review_text", "scraped_at", "run_id")
-    return latest(r, ["id"], [C("scraped_at"), C("run_id"), F.xxhash64("review_text", "rating", "product_name")]).select("id", "product_name", "scraped_at")
+    return latest(r, ["id"], [C("scraped_at"), C("run_id"), C("review_text"), C("rating"), C("product_name")]).select("id", "product_name", "rating", "review_text", "scraped_at")
 
 
-SQL["upsert_reviews"] = "SELECT id, max(product_name) AS product_name, max(scraped_at) AS scraped_at FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY scraped_at DESC, run_id DESC) AS k FROM reviews) WHERE k = 1 GROUP BY id"
+SQL["upsert_reviews"] = """SELECT id, product_name, rating, review_text, scraped_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC NULLS LAST, run_id DESC NULLS LAST,
+review_text DESC NULLS LAST, rating DESC NULLS LAST, product_name DESC NULLS LAST) AS k FROM reviews) WHERE k = 1"""
 
 
 def insert_evidence(spark, d):
@@ -115,7 +117,7 @@ def insert_evidence(spark, d):
     return insert_ignore(e, ["run_id", "source_url", "stored_hash"], [C("id")])
 
 
-SQL["insert_evidence"] = """SELECT run_id, source_url, sha256(substring(content, 1, 60000)) AS stored_hash, min(id) AS id, arg_min(scraped_at, id) AS scraped_at FROM raw_evidence WHERE content IS NOT NULL GROUP BY run_id, source_url, stored_hash"""
+SQL["insert_evidence"] = """SELECT run_id, source_url, sha256(content) AS stored_hash, min(id) AS id, arg_min(scraped_at, id) AS scraped_at FROM raw_evidence WHERE content IS NOT NULL GROUP BY run_id, source_url, stored_hash"""
 
 
 def pending_pages(spark, d):
@@ -150,9 +152,14 @@ def canonical_urls(spark, d):
     return table(spark, d, "offers").select("id", canonical(C("url")).alias("canonical"), F.sha2(canonical(C("url")), 256).alias("url_hash"))
 
 
-_CANONICAL = r"""(regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^([^?]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END)"""
-_QUERY = r"""list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','igshid','ref','spm','scm'], regexp_extract(p, '^([^=]*)', 1)))"""
-SQL["canonical_urls"] = f"SELECT id, {_CANONICAL} AS canonical, sha256({_CANONICAL}) AS url_hash FROM (SELECT id, url, {_QUERY} AS q FROM offers)"
+_PARTS = r"""regexp_extract(trim(url), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?', ['scheme', 'host', 'path', 'query'])"""
+_ENCODE = "replace(url_encode(url_decode(replace({0}, '+', ' '))), '%20', '+')"
+_PAIRS = f"""list_transform(list_filter(string_split(u.query, '&'), lambda p: p <> '' AND NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','igshid','ref','spm','scm'],
+lower({_ENCODE.format("string_split(p, '=')[1]")}))), lambda p: {_ENCODE.format("string_split(p, '=')[1]")} || '=' || {_ENCODE.format("CASE WHEN contains(p, '=') THEN substring(p, strpos(p, '=') + 1) ELSE '' END")})"""
+_PATH = "rtrim(regexp_replace(u.path, ';[^/]*$', ''), '/')"
+_CANONICAL = f"""((CASE WHEN u.scheme = '' THEN 'https' ELSE lower(u.scheme) END) || '://' || lower(u.host) || (CASE WHEN {_PATH} = '' THEN '/' WHEN {_PATH} LIKE '/%' THEN {_PATH} ELSE '/' || {_PATH} END)
+|| (CASE WHEN len({_PAIRS}) > 0 THEN '?' || array_to_string({_PAIRS}, '&') ELSE '' END))"""
+SQL["canonical_urls"] = f"SELECT id, {_CANONICAL} AS canonical, sha256({_CANONICAL}) AS url_hash FROM (SELECT id, {_PARTS} AS u FROM offers)"
 
 
 def dedupe_urls(spark, d):
@@ -161,7 +168,7 @@ def dedupe_urls(spark, d):
     return o.groupBy("canonical").agg(F.min("id").alias("id"), F.min_by("url", "id").alias("url"), F.count("*").alias("copies"))
 
 
-SQL["dedupe_urls"] = f"SELECT {_CANONICAL} AS canonical, min(id) AS id, arg_min(url, id) AS url, count(*) AS copies FROM (SELECT id, url, {_QUERY} AS q FROM offers WHERE url IS NOT NULL) GROUP BY 1"
+SQL["dedupe_urls"] = f"SELECT {_CANONICAL} AS canonical, min(id) AS id, arg_min(url, id) AS url, count(*) AS copies FROM (SELECT id, url, {_PARTS} AS u FROM offers WHERE url IS NOT NULL) GROUP BY 1"
 
 
 def host_attribution(spark, d):
@@ -242,12 +249,13 @@ SQL["provider_chain"] = "SELECT run_id, string_agg(scraper, ' > ' ORDER BY first
 
 
 def review_dates(spark, d):
-    """Dates read from four written forms; free text gives null."""
+    """Dates read from their written forms; free text gives null."""
     return table(spark, d, "reviews").select("id", "scraped_at", parsed_date(C("review_date")).alias("review_day"))
 
 
-SQL["review_dates"] = """SELECT id, scraped_at, coalesce(CAST(try_strptime(CASE WHEN regexp_full_match(review_date, '\\d{4}-\\d{2}-\\d{2}') THEN review_date END, '%Y-%m-%d') AS DATE), CAST(try_strptime(review_date, '%d/%m/%Y') AS DATE),
-CAST(try_strptime(review_date, '%d %b %Y') AS DATE), CAST(try_strptime(review_date, '%B %d, %Y') AS DATE)) AS review_day FROM reviews""".replace("\\\\", "\\")
+SQL["review_dates"] = r"""SELECT id, scraped_at, coalesce(TRY_CAST(NULLIF(regexp_extract(trim(review_date), '^(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$', 1), '') AS DATE),
+CAST(try_strptime(trim(review_date), '%d/%m/%Y') AS DATE), CAST(try_strptime(trim(review_date), '%m/%d/%Y') AS DATE), CAST(try_strptime(trim(review_date), '%d %b %Y') AS DATE),
+CAST(try_strptime(trim(review_date), '%B %d, %Y') AS DATE), CAST(try_strptime(trim(review_date), '%b %d, %Y') AS DATE)) AS review_day FROM reviews"""
 
 
 def product_identity(spark, d):

@@ -48,25 +48,29 @@ def _runs(spark, d):
     return table(spark, d, "research_runs").where("question is not null").select("run_id", "question")
 
 
+def _sections(spark, d, *fields):
+    return table(spark, d, "research_sections").select("id", F.concat_ws(" ", *fields).alias("text"))
+
+
 def lexical_topk(spark, d):
-    """The five best sections of all for every run's question, by capped word hits."""
-    s = lexical_scores(table(spark, d, "research_sections"), "id", "content", _runs(spark, d), "run_id", "question")
+    """The five best sections of all for every run's question, by capped word hits in title, heading and content."""
+    s = lexical_scores(_sections(spark, d, "title", "heading", "content"), "id", "text", _runs(spark, d), "run_id", "question")
     return top_k(s, ["query"], [F.desc("score"), C("doc")], 5).select("query", "doc", "score", C("rank").cast("long").alias("rank"))
 
 
-_POSTINGS = f"SELECT id AS doc, term, count(*) AS tf, any_value(n) AS len FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM (SELECT id, {_TOKENS.format('content')} AS t FROM research_sections)) GROUP BY id, term"
+_POSTINGS, _BM25_POSTINGS = (f"SELECT id AS doc, term, count(*) AS tf, any_value(n) AS len FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM (SELECT id, {_TOKENS.format(x)} AS t FROM research_sections)) GROUP BY id, term" for x in ("concat_ws(' ', title, heading, content)", "concat_ws(' ', title, heading, url, content)"))
 _TERMS = f"SELECT run_id AS query, len(t) AS n, unnest(t) AS term FROM (SELECT run_id, list_distinct({_TOKENS.format('question')}) AS t FROM research_runs WHERE question IS NOT NULL)"
 SQL["lexical_topk"] = f"""SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM
 (SELECT query, doc, least(1.0, floor((0.75 * sum(least(tf, 5)) / any_value(q.n) + 2.5 * sum(least(tf, 5)) / any_value(len)) * 10000 + 0.5) / 10000) AS score FROM ({_POSTINGS}) p JOIN ({_TERMS}) q USING (term) GROUP BY query, doc)) WHERE rank <= 5"""
 
 
 def bm25_topk(spark, d):
-    """The five best sections of all for every run's question, by BM25; scores to four places."""
-    s = bm25_scores(table(spark, d, "research_sections"), "id", "content", _runs(spark, d), "run_id", "question").withColumn("score", rounded(C("score")))
+    """The five best sections of all for every run's question, by BM25 over title, heading, url and content; scores to four places."""
+    s = bm25_scores(_sections(spark, d, "title", "heading", "url", "content"), "id", "text", _runs(spark, d), "run_id", "question").withColumn("score", rounded(C("score")))
     return top_k(s, ["query"], [F.desc("score"), C("doc")], 5).select("query", "doc", "score", C("rank").cast("long").alias("rank"))
 
 
-SQL["bm25_topk"] = f"""WITH p AS ({_POSTINGS}), q AS ({_TERMS}), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), st AS (SELECT avg(len) AS al, (SELECT count(*) FROM research_sections) AS nd FROM (SELECT DISTINCT doc, len FROM p))
+SQL["bm25_topk"] = f"""WITH p AS ({_BM25_POSTINGS}), q AS ({_TERMS}), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), st AS (SELECT avg(len) AS al, (SELECT count(*) FROM research_sections) AS nd FROM (SELECT DISTINCT doc, len FROM p))
 SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM
 (SELECT query, doc, floor(sum(greatest(ln((nd - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) * 10000 + 0.5) / 10000 AS score FROM p JOIN q USING (term) JOIN df USING (term), st GROUP BY query, doc)) WHERE rank <= 5"""
 

@@ -9,8 +9,9 @@ from lodestone.functions.urls import canonical, host, host_suffixes
 from lodestone.operators.components import connected_components
 from lodestone.operators.retrieval import bm25_scores, lexical_scores, nearest
 from lodestone.operators.series import last_per_hour, last_two_days, politeness, top_k
-from lodestone.operators.units import checked, title_amount
+from lodestone.operators.units import checked, converted, title_amount
 from lodestone.operators.upsert import insert_ignore, latest, merged, pending
+from lodestone.session import materialise, release
 
 
 def rows(df, *columns):
@@ -60,14 +61,16 @@ def test_text_expressions(spark):
     assert got[2].w == [] and got[2].s == [] and got[3].w == []
     keys = spark.createDataFrame([("The new Headset X with X",), ("!!",), ("Model",)], "n string").select(product_key(F.col("n"))).collect()
     assert [r[0] for r in keys] == ["headphones x", "unknown", "model"]
-    dates = spark.createDataFrame([("2026-01-17",), ("27/12/2025",), ("02 Mar 2026",), ("March 08, 2026",), ("last week",), (None,)], "d string").select(parsed_date(F.col("d"))).collect()
-    assert [r[0] and r[0].isoformat() for r in dates] == ["2026-01-17", "2025-12-27", "2026-03-02", "2026-03-08", None, None]
+    dates = spark.createDataFrame([("2026-01-17",), ("27/12/2025",), ("02 Mar 2026",), ("March 08, 2026",), ("last week",), (None,), ("03/25/2025",), ("Mar 5, 2025",), ("2025-03-05T10:00:00Z",), (" ",)], "d string").select(parsed_date(F.col("d"))).collect()
+    assert [r[0] and r[0].isoformat() for r in dates] == ["2026-01-17", "2025-12-27", "2026-03-02", "2026-03-08", None, None, "2025-03-25", "2025-03-05", "2025-03-05", None]
 
 
 def test_urls(spark):
     df = spark.createDataFrame([("HTTPS://www.A.example:80/x/?utm_source=q&b=1#f",), ("not a url",), (None,)], "u string")
     got = df.select(host(F.col("u")), canonical(F.col("u"))).collect()
-    assert tuple(got[0]) == ("a.example", "HTTPS://www.A.example:80/x?b=1") and got[1][0] == "" and got[2][1] is None
+    assert tuple(got[0]) == ("a.example", "https://www.a.example:80/x?b=1") and got[1][0] == "" and got[2][1] is None
+    more = [("HTTPS://Shop.Example/A/?UTM_Source=x&b=1", "https://shop.example/A?b=1"), ("https://a.example", "https://a.example/"), (" http://a.example/?q=a%20b&e&t=~*# ", "http://a.example/?q=a+b&e=&t=~%2A"), ("//h.example/x//", "https://h.example/x")]
+    assert [r[0] for r in spark.createDataFrame(more, "u string, want string").select(canonical(F.col("u"))).collect()] == [w for _, w in more]
     assert spark.range(1).select(host_suffixes(F.lit("a.b.example"))).first()[0] == ["a.b.example", "b.example"]
 
 
@@ -101,6 +104,26 @@ def test_units_on_a_small_market(spark):
     assert bad == {100, 101, 102, 103, 105}
 
 
+def test_doubtful_units_go_to_review(spark):
+    cols = "id long, canonical_url string, price double, currency string, unit double, source string, confidence double, t_currency string, home string, rate double, home_rate double, exchange_rate double, normalized_price_usd double"
+    row = lambda i, unit, source, confidence: (i, "u", 5000.0, "USD", unit, source, confidence, None, "USD", 1.0, 1.0, 1.0, 50.0)
+    df = spark.createDataFrame([row(1, 1.0, "forest", 0.95), row(2, 1.0, "forest", 0.5), row(3, 1.0, "title", 1.0), row(4, 1.0, "forest", None)], cols)
+    got = {r.id: r for r in converted(df).collect()}
+    assert [got[i].review for i in (1, 2, 3, 4)] == [False, True, False, True]
+    assert got[1].amount == got[3].amount == 50.0 and got[1].bad_price and not got[1].bad_usd
+    assert got[2].amount is None and got[2].amount_usd is None and not got[2].bad_price and not got[2].bad_usd
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    df = materialise(spark.range(3))
+    folder = df.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+    assert df.count() == 3 and os.path.isdir(folder)
+    release(spark)
+    assert not os.path.isdir(folder)
+
+
 def test_admission_equals_a_fold(spark):
     import random
 
