@@ -6,8 +6,8 @@ Corpus co-occurrence says how strongly a term reveals a protected entity.  Two t
   is of an unmistakable protected shape (pointwise mutual information).  Numbers of an ambiguous shape are protected when
   the terms around them disclose a kind beyond a threshold; order, ticket or parcel numbers stand among terms that don't.
 * words of names: how much more often than usual a word stands first, or last, in a reviewer field that is plainly a
-  person's name.  Words beyond the threshold disclose a person wherever a first name and a surname (or its initial), or a
-  title and a surname, meet, in any case and order.
+  person's name (pointwise mutual information, and its share of the word's uses).  Words beyond the thresholds disclose a
+  person wherever a first name and a surname (or its initial), or a title and a surname, meet, in any case and order.
 
 What is disclosed is replaced by ``[EMAIL]``, ``[PHONE]``, ``[ID]``, ``[ADDRESS]`` or ``[NAME]``; all else stays as it is.
 Null and empty values hold nothing and stay as they are; rows with a null id are kept in the redacted table.
@@ -28,6 +28,8 @@ from lodestone.session import materialise, table
 DISCLOSURE, LEAST_SHARE, LEAST_USES = 0.7, 0.3, 3
 #: Share of a word's uses inside names from which it counts as a word of names.
 NAME_SHARE = 0.2
+#: Words of names are sent to all tasks up to this number; more are joined to all neighbouring words.
+SMALL = 200_000
 
 EMAIL = re.compile(
     r"(?<![\w.+-])[\w.+-]+"
@@ -58,12 +60,15 @@ PHONE_SURE = re.compile(
     r"(?<![\w.-])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,6}\)?){2,6}|\(\d{2,3}\) ?\d{3,5}-\d{4}|1-\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3}-\d{3}-\d{4}"
     r"|0\d{2} \d{4} \d{4}|0\d{4} \d{6}|0\d{3} \d{3} \d{3,4}|0\d{2,4}/\d{6,9}|0\d(?: \d{2}){4}|0\d{1,3}-\d{3,4}-\d{4})(?![\w-])"
 )
+#: What any written-out address of a mailbox holds: a text without it has none.
+MAILBOX = re.compile(r"@|[(\[{]at[)\]}]|\sAT\s|\sat\s(?=.*dot)", re.S)
 PHONE_MAYBE = re.compile(r"(?<![\w.+/-])(?:\d{3}-\d{4}|\d{10,11}|\d{4} \d{4}|\d{3} \d{4})(?![\w-])")
 #: Other numbers, so that terms are also counted where nothing is protected.
 SENTENCE_END = re.compile(r"[.!?]\s|[.!?]$|\n|。")
 NUMBER = re.compile(r"(?<![\w.,#-])#?\d[\d.,:/ -]{2,}\d(?![\w-])|\b[A-Z]{2}-\d{4}\b")
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _NAME = r"([^\W\d_]+(?:['’-](?![sS]\b)[^\W\d_]+)*)"
+NAME_WORD = re.compile(_NAME)
 NAME_PAIR = re.compile(_NAME + r"(\.?\s(?:[^\W\d_]\.\s)?|,\s)" + _NAME + r"(\.?)")
 #: Titles before a surname.
 TITLES = frozenset("mr mrs ms miss dr prof sir madam herr frau monsieur madame mme mlle señor señora señorita sr sra srta senhor senhora dona don doña".split())
@@ -78,8 +83,11 @@ def _terms(text: str, begin: int, end: int) -> list[str]:
     return sign + ["<" + w.lower() for w in before] + [">" + w.lower() for w in after]
 
 
-def candidates(text: str) -> list[tuple]:
-    """(kind, state, begin, end, first, last, terms): sure and doubtful spans, other numbers, and pairs of words that may be a name."""
+def candidates(text: str, names: set[str] | None = None) -> list[tuple]:
+    """(kind, state, begin, end, first, last, terms): sure and doubtful spans, other numbers, and pairs of words that may be a name.
+
+    With the words of names known, only pairs with one of them are given.
+    """
     taken = bytearray(len(text))
     out = []
 
@@ -88,8 +96,9 @@ def candidates(text: str) -> list[tuple]:
             taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
             out.append((kind, state, m.start(), m.end(), None, None, _terms(text, m.start(), m.end()) if terms else []))
 
-    for m in EMAIL.finditer(text):
-        take("email", "sure", m, False)
+    if MAILBOX.search(text):
+        for m in EMAIL.finditer(text):
+            take("email", "sure", m, False)
     has_digit = any(c.isdigit() for c in text)
     if has_digit:
         for m in ADDRESS.finditer(text):
@@ -97,19 +106,27 @@ def candidates(text: str) -> list[tuple]:
         for kind, state, pattern in (("id_number", "sure", ID_SURE), ("phone", "sure", PHONE_SURE), ("id_number", "maybe", ID_MAYBE), ("phone", "maybe", PHONE_MAYBE), ("other", "no", NUMBER)):
             for m in pattern.finditer(text):
                 take(kind, state, m, True)
+    if names is not None and names.isdisjoint(NAME_WORD.findall(text.lower())):
+        return out
     at = 0
     while m := NAME_PAIR.search(text, at):
         first, joint, last, dot = m.groups()
         at = m.start(3)
-        if not any(taken[m.start() : m.end()]):
+        if (names is None or first.lower() in names or last.lower() in names) and not any(taken[m.start() : m.end()]):
             out.append(("name", "comma" if joint[0] == "," else "pair", m.start(), m.end() if dot and len(last) == 1 else m.end(3), first.lower(), last.lower() + (dot if len(last) == 1 else ""), []))
     return out
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract(values: DataFrame, words: DataFrame) -> DataFrame:
+    names = {r.word for r in words.select("word").toLocalIterator()} if words.count() <= SMALL else None
+    shared = values.sparkSession.sparkContext.broadcast(names)
     columns = ["key", "kind", "state", "begin", "end", "first", "last", "terms"]
-    for batch in batches:
-        yield pd.DataFrame([(k, *c) for k, v in zip(batch["key"], batch["value"], strict=True) for c in candidates(v)], columns=columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(k, *c) for k, v in zip(batch["key"], batch["value"], strict=True) for c in candidates(v, shared.value)], columns=columns)
+
+    return values.mapInPandas(run, "key long, kind string, state string, begin int, end int, first string, last string, terms array<string>")
 
 
 def name_words(values: DataFrame, reviewers: DataFrame) -> DataFrame:
@@ -119,12 +136,11 @@ def name_words(values: DataFrame, reviewers: DataFrame) -> DataFrame:
     firsts = named.select(F.col("w")[0].alias("word"), F.lit(1).alias("f"), F.lit(0).alias("l"), F.lit(0).alias("n"))
     lasts = named.where(~F.element_at("w", -1).contains(".")).select(F.element_at("w", -1).alias("word"), F.lit(0).alias("f"), F.lit(1).alias("l"), F.lit(0).alias("n"))
     used = values.select(F.explode(F.expr(r"regexp_extract_all(lower(value), '[\\p{L}''’-]+', 0)")).alias("word")).select("word", F.lit(0).alias("f"), F.lit(0).alias("l"), F.lit(1).alias("n"))
-    return (
-        firsts.unionByName(lasts).unionByName(used).groupBy("word").agg(F.sum("f").alias("f"), F.sum("l").alias("l"), F.sum("n").alias("n"))
-        .where((F.length("word") > 1) & (F.col("f") + F.col("l") > 0))
-        .select("word", ((F.col("f") >= NAME_SHARE * F.col("n")) & (F.col("f") > F.col("l"))).alias("is_first"), ((F.col("l") >= NAME_SHARE * F.col("n")) & (F.col("l") >= F.col("f"))).alias("is_last"))
-        .where("is_first or is_last")
-    )
+    counted = materialise(firsts.unionByName(lasts).unionByName(used).groupBy("word").agg(F.sum("f").alias("f"), F.sum("l").alias("l"), F.sum("n").alias("n")))
+    totals = counted.agg(F.sum("f").alias("all_f"), F.sum("l").alias("all_l"), F.sum("n").alias("all_n"))  # one row
+    told = counted.where((F.length("word") > 1) & (F.col("f") + F.col("l") > 0)).crossJoin(F.broadcast(totals))
+    discloses = lambda k: (F.col(k) >= NAME_SHARE * F.col("n")) & (F.log((F.col(k) / F.col("n")) / (F.col(f"all_{k}") / F.col("all_n"))) >= DISCLOSURE)
+    return told.select("word", (discloses("f") & (F.col("f") > F.col("l"))).alias("is_first"), (discloses("l") & (F.col("l") >= F.col("f"))).alias("is_last")).where("is_first or is_last")
 
 
 def term_disclosure(found: DataFrame) -> DataFrame:
@@ -145,8 +161,8 @@ def disclosed(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = reviews.select("id", F.explode(F.create_map(F.lit("review_text"), F.col("review_text"), F.lit("reviewer"), F.col("reviewer"))).alias("field", "value")).where("value <> ''")
     fields = fields.withColumn("key", F.xxhash64("value"))
     values = fields.groupBy("key").agg(F.any_value("value").alias("value"))
-    found = materialise(values.mapInPandas(_extract, "key long, kind string, state string, begin int, end int, first string, last string, terms array<string>"))
     words = materialise(name_words(fields.select("value"), fields.where("field = 'reviewer'").select("value")))
+    found = materialise(_extract(values, words))
     sure = found.where("state = 'sure'").select("key", "kind", "begin", "end")
     doubtful = found.where("state = 'maybe'").select("key", "begin", "end", F.explode(F.array_distinct("terms")).alias("term"))
     told = doubtful.join(term_disclosure(found), "term")
