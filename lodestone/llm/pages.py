@@ -138,7 +138,7 @@ def features(lines: Lines, weights: np.ndarray) -> np.ndarray:
     mean = total / sizes
     learned = [total, mean, np.minimum.reduceat(single, begin), np.maximum.reduceat(single, begin), single[begin], single[begin + sizes - 1], np.add.reduceat(pair, begin) / sizes, np.minimum.reduceat(pair, begin), np.maximum.reduceat(pair, begin), weights[BUCKETS + starts_of(tokens, sizes)], pair[begin + sizes - 1]]
     place = np.arange(count)
-    within = lambda key, x: (np.bincount(key, weights=x) / np.bincount(key))[key]
+    within = lambda key, x: (np.bincount(key, weights=x) / np.maximum(np.bincount(key), 1))[key]
     first_of = lambda key: np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), place, 0))
     last_of = lambda key: np.minimum.accumulate(np.where(np.append(key[1:] != key[:-1], True), place, count)[::-1])[::-1]
     page_first, page_last = first_of(lines.page), last_of(lines.page)

@@ -3,7 +3,7 @@
 Texts and fetch errors are taken apart into units: lines, delimited stretches (between braces, brackets or twin signs) and
 words, masked (numbers, codes, hosts; letters of a stretch) and folded.  Trusted labels come from values known to be proper
 (pages whose body is known) or improper (pages that were fetched but have no body, errors of pages that were fetched):
-lines of improper values are joined to components of near-duplicates, and a component without lines of proper pages is
+lines of improper values are joined to components of near-duplicates, and a component that no line of a proper page is in, or near, is
 trusted residue if it comes in more improper pages than chance allows, over all components (``CHANCE``); an error's, if it is
 on fetched pages ``TIMES`` as often as errors are.  A few well-known wordings
 (``SEEDS``) are trusted too.  Labels spread from unit to unit through near-duplicate links until none is new, which labels
@@ -29,9 +29,9 @@ from lodestone.session import materialise, table
 
 #: Expected number of units of a kind that are trusted by chance; how much more common than usual an error must be on fetched pages.
 CHANCE, TIMES = 0.05, 2.0
-SIMILARITY, HAMMING = 0.8, 14
+SIMILARITY, HAMMING = 0.8, 18
 #: Partitions of sampled SimHash bits, and bits of each.
-TABLES, BITS = 40, 14
+TABLES, BITS = 32, 12
 #: Bits of each partition where the lines of improper values meet each other.
 POOL_BITS = 24
 #: Labelled units are sent to all tasks up to this number; more are joined.
@@ -77,8 +77,8 @@ def unit_counts(values: DataFrame) -> DataFrame:
     some = lambda c: F.when(c, F.lit(1))
     part = units_of(values, words=F.col("trust").isNotNull()).withColumn("u", _hash())
     copy = F.when((F.col("trust") == 1) & (F.col("part") == "text"), F.col("copy"))
-    # the text is a key, so that rows are hashed, not sorted; that of proper values is not needed
-    text = F.when(F.coalesce("trust", F.lit(1)) == 1, F.col("unit")).alias("unit")
+    # the text is a key, so that rows are hashed, not sorted; the words of proper values are not needed
+    text = F.when((F.coalesce("trust", F.lit(1)) == 1) | (F.col("kind") == "line"), F.col("unit")).alias("unit")
     first = part.groupBy("u", "kind", text, copy.alias("copy")).agg(
         F.max(some(F.col("trust") == 0)).alias("proper"), F.count(some((F.col("part") == "error") & (F.col("trust") == 1))).alias("on_error"), F.count(some(F.col("part") == "error")).alias("errors")
     )
@@ -104,26 +104,34 @@ def trusted(counts: DataFrame, values: DataFrame) -> DataFrame:
     often = lambda on, n: (F.col("kind") == "line") & (on > 0) & (on * F.lit(float(n_errors)) >= n * F.lit(TIMES * n_fetched))
     seeds = units_of(spark.createDataFrame([(s,) for s in SEEDS], "text string")).select(_hash().alias("u"), "unit", "kind", F.lit(True).alias("alone"))
     alone = enough(F.col("improper")) | often(F.col("on_error"), F.col("errors"))
-    known = group.where(alone | enough(F.col("all_improper")) | often(F.col("all_on_error"), F.col("all_errors"))).select("u", "unit", "kind", alone.alias("alone"))
+    known = materialise(group.where(alone | enough(F.col("all_improper")) | often(F.col("all_on_error"), F.col("all_errors"))).select("u", "c", "unit", "kind", alone.alias("alone")))
+    # a component that only its pooled evidence gives must not resemble what proper pages hold
+    together = materialise(signed(known.where("not alone and kind = 'line'")))
+    if together.limit(1).count():
+        edge = together.agg(F.min(F.length("unit")), F.max(F.length("unit"))).first()
+        proper = counts.where("kind = 'line' and proper").where(F.length("unit").between(int(edge[0] * SIMILARITY), int(edge[1] / SIMILARITY) + 1))
+        usual = links(together, signed(proper)).select(F.col("u1").alias("u")).distinct()
+        rejected = known.where("not alone").join(usual, "u", "left_semi").select("c").distinct()
+        known = known.where("alone").unionByName(known.where("not alone").join(rejected, "c", "left_anti"))
+    known = known.drop("c")
     return known.unionByName(seeds.join(counts.where("proper").select("u"), "u", "left_anti").join(known.select("u"), "u", "left_anti"))
 
 
 def simhash(units: list[str]) -> np.ndarray:
-    """64 bits of the letter triples of each unit (padded at both ends), a row of 0 and 1 for each."""
-    padded = [f"\x02{u}\x03\x03" for u in units]
+    """64 bits of the letter pairs of each unit (padded at both ends), a row of 0 and 1 for each."""
+    padded = [f"\x02{u}\x03" for u in units]
     sizes = np.array([len(p) for p in padded])
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     last = np.cumsum(sizes)
     keep = np.ones(len(codes), dtype=bool)
-    keep[last - 1] = keep[last - 2] = False
-    nothing = np.zeros(2, dtype=np.uint64)
-    two, three = np.append(codes[1:], nothing[:1]), np.append(codes[2:], nothing)
+    keep[last - 1] = False
+    following = np.append(codes[1:], np.zeros(1, dtype=np.uint64))
     with np.errstate(over="ignore"):
-        h = (codes * np.uint64(0x9E3779B97F4A7C15) ^ two * np.uint64(0xC2B2AE3D27D4EB4F) ^ three * np.uint64(0x165667B19E3779F9))[keep]
+        h = (codes * np.uint64(0x9E3779B97F4A7C15) ^ following * np.uint64(0xC2B2AE3D27D4EB4F))[keep]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-    grams = sizes - 2
+    grams = sizes - 1
     begin = np.cumsum(grams) - grams
     out = np.empty((len(units), 64), dtype=np.uint8)
     for bit in range(64):
@@ -158,29 +166,32 @@ def pooled(counts: DataFrame) -> DataFrame:
     return connected_components(links, "u1", "u2").select(F.col("node").alias("u"), F.col("component").alias("c"))
 
 
+def links(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(u1, u): the near-duplicates of the units of `mine` among those of `theirs`; both signed. None of either is met twice."""
+    edge = mine.agg(F.min(F.length("unit")), F.max(F.length("unit")), F.count("*")).first()
+    # an edit similarity of SIMILARITY bounds the ratio of the lengths
+    band = theirs.where(F.length("unit").between(int((edge[0] or 0) * SIMILARITY), int((edge[1] or 0) / SIMILARITY) + 1))
+    one = mine.select(F.col("u").alias("u1"), F.col("s").alias("s1"), F.col("unit").alias("unit1"), F.posexplode("keys").alias("t", "k"))
+    other = band.select("u", "unit", "s", F.posexplode("keys").alias("t", "k"))
+    met = other.join(F.broadcast(one) if edge[2] <= SMALL // TABLES else one, ["t", "k"]).where(F.bit_count(F.col("s").bitwiseXOR(F.col("s1"))) <= HAMMING)
+    return met.where(F.levenshtein("unit", "unit1") <= (1 - SIMILARITY) * F.greatest(F.length("unit"), F.length("unit1"))).select("u1", "u").distinct()
+
+
 def spread(labelled: DataFrame, others: DataFrame) -> DataFrame:
     """(u) of the labelled units and of all that are linked to them, over any number of links; others has u and unit."""
     found, new = labelled.select("u"), materialise(signed(labelled))
     waiting = materialise(signed(others))
-    while True:
-        edge = new.agg(F.min(F.length("unit")), F.max(F.length("unit")), F.count("*")).first()
-        if not edge[2]:
-            return found
-        # an edit similarity of SIMILARITY bounds the ratio of the lengths
-        near = waiting.where(F.length("unit").between(int(edge[0] * SIMILARITY), int(edge[1] / SIMILARITY) + 1))
-        mine = new.select(F.col("s").alias("s1"), F.col("unit").alias("unit1"), F.posexplode("keys").alias("t", "k"))
-        theirs = near.select("u", "unit", "s", F.posexplode("keys").alias("t", "k"))
-        met = theirs.join(F.broadcast(mine) if edge[2] <= SMALL // TABLES else mine, ["t", "k"]).where(F.bit_count(F.col("s").bitwiseXOR(F.col("s1"))) <= HAMMING)
-        longest = F.greatest(F.length("unit"), F.length("unit1"))
-        alike = materialise(met.where(F.levenshtein("unit", "unit1") <= (1 - SIMILARITY) * longest).select("u").distinct())
+    while new.limit(1).count():
+        alike = materialise(links(new, waiting).select("u").distinct())
         found = found.unionByName(alike)
-        new = waiting.join(alike, "u", "left_semi")
+        new = materialise(waiting.join(alike, "u", "left_semi"))
         waiting = waiting.join(alike, "u", "left_anti")
+    return found
 
 
 def residue_units(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(u, trusted) of the lines and stretches that are residue, by their own label or through links; (unit) of the words confined to improper values."""
-    counts = materialise(unit_counts(values).where("(kind = 'line' and not proper) or improper > 0 or on_error > 0"))
+    counts = materialise(unit_counts(values).where("kind = 'line' or improper > 0 or on_error > 0"))
     seeds = materialise(trusted(counts, values))
     lines = spread(seeds.where("kind = 'line'"), counts.where("kind = 'line' and not proper").join(seeds.select("u"), "u", "left_anti"))
     linked = lines.join(seeds.select("u"), "u", "left_anti").select("u", F.lit(False).alias("trusted"))

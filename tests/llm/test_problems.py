@@ -4,19 +4,19 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.boilerplate import furniture, main_text
+from lodestone.llm.boilerplate import decode, furniture, main_text
 from lodestone.llm.leakage import find_leaks, word_offsets
 from lodestone.llm.listings import fit_weights, linked
 from lodestone.llm.near_duplicates import similar_pairs, similar_sets
-from lodestone.llm.pages import is_residue
 from lodestone.llm.pii import disclosed, redacted
-from lodestone.llm.residue import residue_rows
+from lodestone.llm.residue import residue_rows, spread
 from lodestone.llm.spans import shares, tree_spans
 from lodestone.llm.tokenizer import VOCABULARY, encode_corpus
-from lodestone.llm.truncation import field_limits, judged, tail_of
+from lodestone.llm.truncation import field_limits, judged, tails_of
 
 
 def rows(df, *columns):
@@ -172,58 +172,115 @@ def test_redaction(spark):
 # problems 1, 3, 6
 
 
-PAGE = "Menu\nHome Shop Deals Help\n\n# Echo 1234 review\n\nThe kettle was tested for nine weeks by twelve people, and it held its heat well.\n\n- Weight: 12 g\n\n### Related reading\n- Drovane Harbor 4242 review\n\n© 2025 Acme. All rights reserved."
+NOUNS = ["kettle", "lamp", "router", "chair", "drill", "camera", "tent", "scale", "fan", "clock"]
 
 
-def test_furniture(spark):
-    pages = [("p", n, PAGE.replace("nine", str(n)).replace("4242", str(4000 + n))) for n in range(40)] + [("p", 90, None), ("p", 91, ""), ("p", 92, "  \n "), ("p", 93, "word " * 20_000)]
-    df = spark.createDataFrame(pages, "tab string, id long, text string")
-    found = defaultdict(set)
-    for r in furniture(df).collect():
-        found[r.id].add(r.line_no)
-    assert found[3] == {0, 1, 9, 10, 12} and 93 not in found and 92 not in found
-    body = {r.id: r.main_text for r in main_text(df).collect()}
-    assert body[3].startswith("# Echo 1234 review") and "Related" not in body[3] and body[90] is None and body[91] == "" and len(body) == 44
-    assert furniture(df.where("false")).count() == 0
+def page(n, furniture=True):
+    """A page with furniture that recurs in many pages, and the lines of its body."""
+    r = random.Random(n)
+    body = [f"# {NOUNS[n % 10].title()} {1000 + n} review"] + [" ".join(f"The {r.choice(NOUNS)} was tested for {r.randrange(99)} weeks by {r.choice(NOUNS)} owners and it held its {r.choice(NOUNS)} well." for _ in range(3)) for _ in range(3)] + [f"- Weight: {n} g"]
+    if not furniture:
+        return "\n\n".join(body), body
+    above, below = r.sample(["Home | Shop | Help", "Accept all cookies to continue", "Sign in to your account", "Menu"], 2), r.sample(["Terms | Privacy | Imprint", "All rights reserved", "Share this page", "Back to top"], 2)
+    return "\n\n".join([*above, *body, *below]), body
 
 
-def test_residue(spark):
-    body = "The kettle was tested for nine weeks by twelve people, and it held its heat well. " * 5
-    data = [
-        ("p", 1, "Please enable JavaScript to view this page.", None), ("p", 2, "Home Shop Help\n\nError 404 - this address does not exist on a.example.", None), ("p", 3, body + "Only {{ stock }} left.", None), ("p", 4, body + "It prints `{{ stock }}` here.", None),
-        ("p", 5, body + "A server error of code 503 was renamed 807 times.", None), ("p", 6, None, "timeout after 58 s"), ("p", 7, None, "%s: %s"), ("p", 8, "", None), ("p", 9, "Lorem ipsum dolor sit amet nulla tempor.", None), ("p", 10, None, None),
-    ]
-    df = spark.createDataFrame(data, "tab string, id long, text string, error string")
-    assert rows(residue_rows(df), "id") == [(1,), (2,), (3,), (7,), (9,)]
-    assert residue_rows(df.where("false")).count() == 0
-    assert not is_residue("Designers used lorem ipsum drafts for 553 days before the vent text was shipped.")
+def site(spark, pages=120):
+    """(pages, bodies, without) of a small site; captures come without a known body."""
+    rows = [("p", n, page(n)[0]) for n in range(pages)] + [("c", n, page(500 + n)[0]) for n in range(20)]
+    rows += [("p", 900 + n, f"Home | Shop | Help\n\nError {400 + n}: no such page here\n\nAll rights reserved") for n in range(12)] + [("c", 90, None), ("c", 91, ""), ("c", 92, "  \n "), ("c", 93, "word " * 20_000)]
+    bodies = [("p", n, "\n".join(page(n)[1])) for n in range(pages)]
+    frame = spark.createDataFrame(rows, "tab string, id long, text string").withColumn("label", F.lit("clash")).withColumn("n", F.lit(1))
+    return frame, spark.createDataFrame(bodies, "tab string, id long, body string"), spark.createDataFrame([("p", 900 + n) for n in range(12)], "tab string, id long")
 
 
-def test_residue_variants_without_known_wording(spark):
-    data = [
-        ("p", 1, "Please enable JavaScript to view this page."), ("p", 2, "Please enable Javscript to view this page."), ("p", 3, "Blindtext: hier steht noch ein Absatz."), ("p", 4, "Blintext: hier steht noch ein Absatz."),
-        ("p", 5, "The kettle was tested on this page."), ("p", 6, "Please view this page of kettles in a shop."),
+def test_furniture(spark):
+    pages, bodies, without = site(spark)
+    found = defaultdict(set)
+    for r in furniture(pages, bodies, without).collect():
+        found[r.tab, r.id].add(r.line_no)
+    right = wrong = 0
+    for n in range(20):
+        text, body = page(500 + n)
+        want = {k for k, x in enumerate(text.split("\n")) if x and x not in body}
+        right, wrong = right + len(found["c", n] & want), wrong + len(found["c", n] ^ want)
+    assert right >= 78 and wrong <= 2 and ("c", 92) not in found and found["c", 93] <= {0}
+    assert all(2 not in found["p", 900 + n] for n in range(12))  # a page's error message is no furniture
+    main = {r.id: r.main_text for r in main_text(pages, bodies, without).where("tab = 'c'").collect()}
+    assert main[3].startswith("#") and "Terms |" not in main[3] and main[90] is None and main[91] == "" and len(main) == 24
+    assert furniture(pages.where("false"), bodies, without).count() == 0 and furniture(pages, bodies.where("false"), without.where("false")).count() == 0
+
+
+def test_decoding_keeps_lists_whole():
+    block, run, shape = np.array([0, 0, 0, 0, 1]), np.array([0, 0, 0, 0, 1]), np.array([1, 1, 1, 1, 5])
+    assert decode(block, run, shape, np.array([3.0, 3.0, -1.0, 3.0, -2.0])).tolist() == [True, True, True, True, False]
+    assert decode(block, run, np.full(5, 5), np.array([3.0, 3.0, -2.0, 3.0, -2.0])).tolist() == [True, True, False, True, False]
+    assert decode(np.array([], dtype=int), np.array([], dtype=int), np.array([], dtype=int), np.array([])).tolist() == []
+
+
+def values_of(spark):
+    """Pages with a body (trust 0), pages without (1), captures and errors; the notices are in no word list."""
+    filler = "quorvel mintra sabelo drimmen fosk"
+    data = [("p", n, "text", page(n, False)[0], 0, n) for n in range(60)] + [("p", 60, "text", "The guide prints `{{ price }}` as code for all owners of the lamp.", 0, 60)]
+    data += [("p", 100 + n, "text", f"Sorry, our wombat ate this leaf number {n}.", 1, 100 + n) for n in range(5)]
+    data += [("p", 110 + n, "text", page(110 + n, False)[0] + f"\nOnly {{{{ stock_{n} }}}} left.", 1, 110 + n) for n in range(5)]
+    data += [("p", 120 + n, "text", " ".join(random.Random(n).choices(filler.split(), k=12)), 1, 120 + n) for n in range(8)]
+    data += [("p", 130 + n, "error", "Message goes there", 1, None) for n in range(2)] + [("p", 140 + n, "error", f"timeout after {n} s", None, None) for n in range(30)]
+    data += [
+        ("c", 1, "text", "Sorry, our wombat ate this leaf number 77.", None, None), ("c", 2, "text", "Sory, our wombatt ate ths leef numbr 7.", None, None), ("c", 3, "text", page(300, False)[0], None, None),
+        ("c", 4, "text", page(301, False)[0] + "\n\nCosts {{ cost }} now.", None, None), ("c", 5, "text", "It prints `{{ cost }}` as the tag does in code.", None, None), ("c", 6, "text", "fosk mintra fosk drimmen sabelo quorvel mintra", None, None),
+        ("c", 7, "text", None, None, None), ("c", 8, "text", "", None, None), ("c", 9, "text", "word " * 20_000, None, None), ("c", 10, "error", "Message goes there", None, None),
     ]
-    df = spark.createDataFrame(data, "tab string, id long, text string").withColumn("error", F.lit(None).cast("string"))
-    assert rows(residue_rows(df), "id") == [(1,), (2,), (3,), (4,)]
+    return spark.createDataFrame(data, "tab string, id long, part string, text string, trust int, copy long")
+
+
+def test_residue(spark):
+    values = values_of(spark)
+    found = {(r.tab, r.id): r.trusted for r in residue_rows(values).collect()}
+    assert sorted(i for t, i in found if t == "c") == [1, 2, 4, 6, 10]
+    assert found["c", 1] and not found["c", 2]  # slips in most words: only a link to a trusted unit gives it
+    pages = {i for t, i in found if t == "p"}
+    assert {*range(100, 105), *range(110, 115), *range(120, 128), 130, 131} <= pages and not pages & {*range(61), *range(140, 170)}
+    assert residue_rows(values.where("false")).count() == 0
+    assert [r.id for r in residue_rows(values, values.where("tab = 'c' and id < 3").select("tab", "id")).orderBy("id").collect()] == [1, 2]
+
+
+def test_partitions_reach_edit_similarity(spark):
+    r = random.Random(8)
+    base = [" ".join("".join(r.choice("abcdefghilmnorstu") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(5, 14))) for _ in range(300)]
+    near = []
+    for b in base:  # edits at random places, up to a tenth of the letters
+        t = list(b)
+        for _ in range(max(1, len(t) // 12)):
+            t[r.randrange(len(t))] = r.choice("xyz")
+        near.append("".join(t))
+    frame = lambda texts, lo: spark.createDataFrame([(lo + n, t) for n, t in enumerate(texts)], "u long, unit string")
+    found = {x.u for x in spread(frame(base, 0), frame(near + ["unlike all of these"], 1000)).collect()}
+    assert len(found & set(range(1000, 1300))) >= 270 and 1300 not in found
 
 
 def test_tails():
-    assert tail_of("A whole sentence stands here.") == "closed"
-    assert tail_of("The kettle was tested for ni") == "open"
-    assert tail_of("The kettle was tested for [...]") == "marked"
-    assert tail_of("Body text here.\n\nPrivacy policy | Terms of use | Site") == "closed"
-    assert tail_of("Body.\n\n- Weight: 12 g") == "item"
-    assert tail_of("| a | b |") == "closed" and tail_of("") == "closed" and tail_of("# Title") == "closed"
+    ends = lambda t: tails_of([t], None)[0][0]
+    assert ends("A whole sentence stands here.") == "closed" and ends("") == "closed" and ends(None) == "closed" and ends("# Title") == "closed" and ends("| a | b |") == "closed"
+    assert ends("A sentence that is long enough to be one was tested for ni") == "open"
+    assert ends("The kettle was tested for [...]") == "mark" and ends("Body.\n\n- Weight: 12 g") == "item" and ends("| a | b") == "table" and ends("Short line") == "line"
+    assert len(tails_of(["x " * 9] * 1200, None)) == 1200
 
 
 def test_limits(spark):
     r = random.Random(2)
-    lengths = [("p", r.randrange(500, 3000)) for _ in range(3000)] + [("p", 1200)] * 60
-    found = rows(field_limits(spark.createDataFrame(lengths, "tab string, n int")), "n")
+    lengths = [(1, r.randrange(500, 3000)) for _ in range(3000)] + [(1, 1200)] * 60
+    found = rows(field_limits(spark.createDataFrame(lengths, "source int, n int")), "n")
     assert (1200,) in found and len(found) <= 2
-    df = spark.createDataFrame([("p", 1, "h", "s", "An open sentence that ends in the mid"), ("p", 2, "h", "s", None), ("p", 3, "h", "s", "Closed one here.")], "tab string, id long, host string, scraper string, text string")
-    assert rows(judged(df, df.where("false").select("tab", "id")).where("cut"), "id") == [(1,)]
+    whole = lambda n: ("The kettle was tested for nine weeks by twelve people and held. " * 60)[: n - 1].rstrip() + "."
+    cut = ["- " + ("item number of the list without an end " * 20)[:398]] * 30  # items that all end at 400 characters
+    data = [("p", n, "h", "s", whole(r.randrange(300, 900))) for n in range(400)] + [("p", 1000 + n, "h", "s", c) for n, c in enumerate(cut)]
+    data += [("p", 2000, "h", "s", "An open sentence that ends in the mid of a wo"), ("p", 2001, "h", "s", None), ("p", 2002, "h", "s", "- an item"), ("p", 2003, "h", "s", "Marked here [...]"), ("p", 2004, "h", "s", "Never mind {{ x }} that ends in the mid of a wo")]
+    df = spark.createDataFrame(data, "tab string, id long, host string, scraper string, text string")
+    values = df.select("tab", "id", F.lit("text").alias("part"), "text", F.lit(None).cast("int").alias("trust"), F.col("id").alias("copy"))
+    got = {x.id: x.reason for x in judged(df, values, None).where("reason is not null").collect()}
+    assert got == {2000: "transfer", 2003: "mark"} | {1000 + n: "limit" for n in range(30)}
+    assert judged(df.where("false"), values.where("false"), None).count() == 0
 
 
 # problem 7
