@@ -3,9 +3,8 @@
 Texts and fetch errors are taken apart into units: lines, delimited stretches (between braces, brackets or twin signs) and
 words, masked (numbers, codes, hosts; letters of a stretch) and folded.  Trusted labels come from values known to be proper
 (pages whose body is known) or improper (pages that were fetched but have no body, errors of pages that were fetched):
-lines of improper values are joined to components of near-duplicates, and a component that no line of a proper page is in, or near, is
-trusted residue if it comes in more improper pages than chance allows, over all components (``CHANCE``); an error's, if it is
-on fetched pages ``TIMES`` as often as errors are.  A few well-known wordings
+a unit is trusted residue if no proper page has it and it comes in more improper pages than chance allows, over all such units
+of its kind (``CHANCE``); an error's, if it is on fetched pages ``TIMES`` as often as errors are.  A few well-known wordings
 (``SEEDS``) are trusted too.  Labels spread from unit to unit through near-duplicate links until none is new, which labels
 the components that hold a trusted unit: lines meet in ``TABLES`` partitions of SimHash bits, and a link needs a Hamming
 distance of ``HAMMING`` at most and an edit similarity of ``SIMILARITY``.  A unit of a proper page is never labelled.
@@ -24,16 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.pages import STRETCH, page_bodies, page_texts, pages_without_body
-from lodestone.operators.components import connected_components
 from lodestone.session import materialise, table
 
 #: Expected number of units of a kind that are trusted by chance; how much more common than usual an error must be on fetched pages.
 CHANCE, TIMES = 0.05, 2.0
-SIMILARITY, HAMMING = 0.8, 18
+SIMILARITY, HAMMING = 0.8, 14
 #: Partitions of sampled SimHash bits, and bits of each.
-TABLES, BITS = 32, 12
-#: Bits of each partition where the lines of improper values meet each other.
-POOL_BITS = 24
+TABLES, BITS = 40, 14
 #: Labelled units are sent to all tasks up to this number; more are joined.
 SMALL = 200_000
 #: Well-known wording of filler and of servers, trusted without evidence.
@@ -77,8 +73,8 @@ def unit_counts(values: DataFrame) -> DataFrame:
     some = lambda c: F.when(c, F.lit(1))
     part = units_of(values, words=F.col("trust").isNotNull()).withColumn("u", _hash())
     copy = F.when((F.col("trust") == 1) & (F.col("part") == "text"), F.col("copy"))
-    # the text is a key, so that rows are hashed, not sorted; the words of proper values are not needed
-    text = F.when((F.coalesce("trust", F.lit(1)) == 1) | (F.col("kind") == "line"), F.col("unit")).alias("unit")
+    # the text is a key, so that rows are hashed, not sorted; that of proper values is not needed
+    text = F.when(F.coalesce("trust", F.lit(1)) == 1, F.col("unit")).alias("unit")
     first = part.groupBy("u", "kind", text, copy.alias("copy")).agg(
         F.max(some(F.col("trust") == 0)).alias("proper"), F.count(some((F.col("part") == "error") & (F.col("trust") == 1))).alias("on_error"), F.count(some(F.col("part") == "error")).alias("errors")
     )
@@ -88,32 +84,19 @@ def unit_counts(values: DataFrame) -> DataFrame:
 
 
 def trusted(counts: DataFrame, values: DataFrame) -> DataFrame:
-    """(u, unit, kind, alone) of the units that are residue by the labels of values; alone is false where only the unit's component gives it."""
+    """(u, unit, kind) of the units that are residue by the labels of values."""
     spark = counts.sparkSession
-    group = counts.join(pooled(counts), "u", "left").withColumn("c", F.coalesce("c", "u"))
-    whole = group.groupBy("c").agg(*(F.sum(x).alias(f"all_{x}") for x in ("improper", "on_error", "errors")))
-    group = materialise(group.where("not proper").join(whole, "c"))
     texts, errors = values.where("part = 'text' and text <> ''"), values.where("part = 'error' and text <> ''")
     known = texts.where("trust is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum("trust"), F.lit(0)).alias("improper"))
     fetched = errors.agg(F.count("*").alias("n_errors"), F.coalesce(F.sum(F.when(F.col("trust") == 1, 1)), F.lit(0)).alias("n_fetched"))
-    tests = group.where("all_improper > 1").groupBy("kind").agg(F.count_distinct("c").alias("n"))
+    tests = counts.where("improper > 1 and not proper").groupBy("kind").agg(F.count("*").alias("n"))
     n, improper, n_errors, n_fetched = (*known.first(), *fetched.first())
     share = min(max(improper / max(n, 1), 1e-6), 0.999999)
     least = {r.kind: max(2, int(np.ceil(np.log(CHANCE / r.n) / np.log(share)))) for r in tests.collect()}  # a row a kind
     enough = lambda n: reduce(operator.or_, [(F.col("kind") == k) & (n >= m) for k, m in least.items()], F.lit(False)) & (F.length("unit") > 1)
     often = lambda on, n: (F.col("kind") == "line") & (on > 0) & (on * F.lit(float(n_errors)) >= n * F.lit(TIMES * n_fetched))
-    seeds = units_of(spark.createDataFrame([(s,) for s in SEEDS], "text string")).select(_hash().alias("u"), "unit", "kind", F.lit(True).alias("alone"))
-    alone = enough(F.col("improper")) | often(F.col("on_error"), F.col("errors"))
-    known = materialise(group.where(alone | enough(F.col("all_improper")) | often(F.col("all_on_error"), F.col("all_errors"))).select("u", "c", "unit", "kind", alone.alias("alone")))
-    # a component that only its pooled evidence gives must not resemble what proper pages hold
-    together = materialise(signed(known.where("not alone and kind = 'line'")))
-    if together.limit(1).count():
-        edge = together.agg(F.min(F.length("unit")), F.max(F.length("unit"))).first()
-        proper = counts.where("kind = 'line' and proper").where(F.length("unit").between(int(edge[0] * SIMILARITY), int(edge[1] / SIMILARITY) + 1))
-        usual = links(together, signed(proper)).select(F.col("u1").alias("u")).distinct()
-        rejected = known.where("not alone").join(usual, "u", "left_semi").select("c").distinct()
-        known = known.where("alone").unionByName(known.where("not alone").join(rejected, "c", "left_anti"))
-    known = known.drop("c")
+    seeds = units_of(spark.createDataFrame([(s,) for s in SEEDS], "text string")).select(_hash().alias("u"), "unit", "kind")
+    known = counts.where(~F.col("proper") & (enough(F.col("improper")) | often(F.col("on_error"), F.col("errors")))).select("u", "unit", "kind")
     return known.unionByName(seeds.join(counts.where("proper").select("u"), "u", "left_anti").join(known.select("u"), "u", "left_anti"))
 
 
@@ -155,17 +138,6 @@ def signed(units: DataFrame, width: int = BITS) -> DataFrame:
     return units.select("u", "unit").mapInPandas(sign, "u long, unit string, s long, keys array<int>")
 
 
-def pooled(counts: DataFrame) -> DataFrame:
-    """(u, c): the component of near-duplicates of every line of improper values that has any; equal keys meet in 24 bits, so that few unlike lines do."""
-    lines = materialise(signed(counts.where("kind = 'line' and not proper and (improper > 0 or on_error > 0)"), POOL_BITS))
-    keyed = lines.select("u", "s", F.length("unit").alias("n"), F.posexplode("keys").alias("t", "k"))
-    left, right = (keyed.select("t", "k", F.col("u").alias(f"u{i}"), F.col("s").alias(f"s{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    met = left.join(right, ["t", "k"]).where((F.col("u1") < F.col("u2")) & (F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) <= HAMMING) & (F.least("n1", "n2") >= SIMILARITY * F.greatest("n1", "n2")))
-    text = [lines.select(F.col("u").alias(f"u{i}"), F.col("unit").alias(f"unit{i}")) for i in (1, 2)]
-    links = met.select("u1", "u2").distinct().join(text[0], "u1").join(text[1], "u2").where(F.levenshtein("unit1", "unit2") <= (1 - SIMILARITY) * F.greatest(F.length("unit1"), F.length("unit2")))
-    return connected_components(links, "u1", "u2").select(F.col("node").alias("u"), F.col("component").alias("c"))
-
-
 def links(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """(u1, u): the near-duplicates of the units of `mine` among those of `theirs`; both signed. None of either is met twice."""
     edge = mine.agg(F.min(F.length("unit")), F.max(F.length("unit")), F.count("*")).first()
@@ -191,11 +163,12 @@ def spread(labelled: DataFrame, others: DataFrame) -> DataFrame:
 
 def residue_units(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(u, trusted) of the lines and stretches that are residue, by their own label or through links; (unit) of the words confined to improper values."""
-    counts = materialise(unit_counts(values).where("kind = 'line' or improper > 0 or on_error > 0"))
+    counts = materialise(unit_counts(values).where("(kind = 'line' and not proper) or improper > 0 or on_error > 0"))
     seeds = materialise(trusted(counts, values))
-    lines = spread(seeds.where("kind = 'line'"), counts.where("kind = 'line' and not proper").join(seeds.select("u"), "u", "left_anti"))
-    linked = lines.join(seeds.select("u"), "u", "left_anti").select("u", F.lit(False).alias("trusted"))
-    return materialise(seeds.where("kind <> 'word'").select("u", F.col("alone").alias("trusted")).unionByName(linked)), seeds.where("kind = 'word'").select("unit")
+    # a line that holds a stretch is residue by the stretch, and near to lines without it
+    lines = spread(seeds.where((F.col("kind") == "line") & ~F.col("unit").rlike(STRETCH)), counts.where("kind = 'line' and not proper").join(seeds.select("u"), "u", "left_anti"))
+    linked = lines.distinct().join(seeds.select("u"), "u", "left_anti").select("u", F.lit(False).alias("trusted"))
+    return materialise(seeds.where("kind <> 'word'").select("u", F.lit(True).alias("trusted")).unionByName(linked)), seeds.where("kind = 'word'").select("unit")
 
 
 def _sent(df: DataFrame) -> DataFrame:
