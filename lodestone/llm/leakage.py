@@ -52,7 +52,7 @@ def _automaton(raw: bytes) -> ahocorasick.Automaton:
     if mark not in _AUTOMATA:
         made = ahocorasick.Automaton()
         for window, ids in pickle.loads(raw):
-            made.add_word(window, (len(window), ids))
+            made.add_word(window, ids)
         made.make_automaton()
         _AUTOMATA.clear()
         _AUTOMATA[mark] = made
@@ -84,8 +84,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 13, key: str = "d
                 rows = []
                 for doc, norm, original in zip(batch["doc_id"], batch["n"], batch["t"], strict=True):
                     found: dict = {}
-                    for end, (size, ids) in automaton.iter(norm):
-                        first = norm.count(" ", 0, end - size + 1)
+                    at = spaces = 0
+                    for end, ids in automaton.iter(norm):
+                        spaces += norm.count(" ", at, end + 1)  # ends come in order: the text is walked once
+                        at = end + 1
+                        first = spaces - words - 1
                         for item in ids:
                             spans = found.setdefault(item, [])
                             if spans and first <= spans[-1][1]:
@@ -101,19 +104,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = 13, key: str = "d
 
         return run
 
-    blocks, block = [], []
-    for row in windows.toLocalIterator():
+    out, block = None, []
+
+    def close(part: list) -> DataFrame:
+        hits = scanned.mapInPandas(scan(spark.sparkContext.broadcast(pickle.dumps(part))), schema)
+        return hits if out is None else out.unionByName(hits)
+
+    for row in windows.toLocalIterator():  # one block at a time is held here
         block.append((row["window"], row["item_ids"]))
         if len(block) == BLOCK_WINDOWS:
-            blocks.append(block)
-            block = []
+            out, block = close(block), []
     if block:
-        blocks.append(block)
-    out = spark.createDataFrame([], schema) if not blocks else None
-    for part in blocks:
-        hits = scanned.mapInPandas(scan(spark.sparkContext.broadcast(pickle.dumps(part))), schema)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        out = close(block)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,4 +140,9 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_leaked_items": p9_leaked_items, "p9_spans": p9_spans}
-SQL: dict[str, str] = {}
+_WINDOWS = r"""SELECT k, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS x FROM (SELECT {key} AS k, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 13"""
+_FOUND = f"SELECT DISTINCT i.k AS item_id, d.k AS doc_id FROM ({_WINDOWS.format(key='item_id', table='eval_items')}) i JOIN ({_WINDOWS.format(key='doc_id', table='documents')}) d ON i.x = d.x"
+SQL: dict[str, str] = {
+    "p9_found": _FOUND,
+    "p9_leaked_items": f"SELECT suite, count(DISTINCT e.item_id) AS items, count(DISTINCT f.item_id) AS leaked, count(DISTINCT f.doc_id) AS documents FROM eval_items e LEFT JOIN ({_FOUND}) f ON e.item_id = f.item_id GROUP BY suite",
+}

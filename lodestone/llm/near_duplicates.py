@@ -258,4 +258,9 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_links": p5_links}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": r"""WITH r AS (SELECT 'research_pages' AS tab, id, text FROM research_pages UNION ALL SELECT 'research_sections', id, content FROM research_sections),
+w AS (SELECT tab, id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM r WHERE text IS NOT NULL),
+g AS (SELECT tab, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 40), e AS (SELECT tab, id, len(g) AS n, unnest(g) AS x FROM g)
+SELECT tab, id_a, id_b FROM (SELECT a.tab, a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.tab = b.tab AND a.x = b.x AND a.id < b.id GROUP BY ALL) WHERE c >= 0.7 * (na + nb - c)""",
+}

@@ -244,4 +244,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_share": p10_share}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p10_found": """WITH w AS (SELECT doc_id, substring(text, i, 300) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))
+SELECT DISTINCT doc_id FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1)""",
+}
