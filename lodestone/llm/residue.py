@@ -27,9 +27,9 @@ from lodestone.session import materialise, table
 
 #: Expected number of units of a kind that are trusted by chance; how much more common than usual an error must be on fetched pages.
 CHANCE, TIMES = 0.05, 2.0
-SIMILARITY, HAMMING = 0.8, 14
+SIMILARITY, HAMMING = 0.8, 18
 #: Partitions of sampled SimHash bits, and bits of each.
-TABLES, BITS = 40, 14
+TABLES, BITS = 40, 12
 #: Labelled units are sent to all tasks up to this number; more are joined.
 SMALL = 200_000
 #: Well-known wording of filler and of servers, trusted without evidence.
