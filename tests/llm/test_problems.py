@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.boilerplate import decode, furniture, main_text
 from lodestone.llm.leakage import find_leaks, word_offsets
-from lodestone.llm.listings import fit_weights, linked
+from lodestone.llm.listings import fit_weights, grouped, linked, readings
 from lodestone.llm.near_duplicates import similar_pairs, similar_sets
 from lodestone.llm.pii import disclosed, redacted
 from lodestone.llm.residue import residue_rows, spread
@@ -297,3 +297,22 @@ def test_listings(spark):
     assert linked(df.where("false")).count() == 0
     fitted = fit_weights([{"brand": 1, "line": 2, "price": 1, "n": 100}, {"brand": 0, "line": 0, "price": 0, "n": 300}])
     assert fitted[1, 2, 1] > 0.9 > 0.1 > fitted[0, 0, 0]
+
+
+def test_listings_of_any_model_number(spark):
+    data = [
+        ("a1", "Acme X200 electric kettle 1.7 L", "Acme", None, 40.0), ("a2", "kettle X-200, 1700 ml", "ACME Inc.", None, 42.0), ("a3", "X 200 Pro water boiler 1.7 litre", "Acme", None, 41.0), ("a4", "Acme X300 kettle 1.7 L", "Acme", None, 41.0),
+        ("b1", "Dorn 800 charger 26.8 Ah", "Dalvimar", None, 60.0), ("b2", "DORN DR-800 power bank", "Dalvimar", "Donr DR800 26,800 mAh", 61.0), ("b3", "Vesper 800 charger 26800 mAh", "Ombrix", None, 20.0), ("b4", "Dorn 800 charger 10 Ah", "Dalvimar", None, 60.0),
+        ("c1", "Dorn 52134 charger", None, None, 60.0), ("c2", "dorn DR52134 power bank", "Dalvimar", None, 60.0), ("d1", "Fone 14 Pro 256GB", "Acme", None, 900.0), ("d2", "FONE 14 pro, 256 gb", "Acme", None, 910.0), ("d3", "Fone 15 Pro 256GB", "Acme", None, 900.0),
+        ("e1", "800 ml mug, save 20%", "Acme", None, 8.0), ("e2", "mug 0.8 L USD 800", "Acme", None, 8.0), ("f", None, None, None, None), ("g", "", None, None, None), ("h1", "800", None, None, None), ("h2", "800", None, None, None), (None, "Dorn 800", None, None, 1.0),
+    ]
+    df = spark.createDataFrame(data, "canonical_url string, product_name string, brand string, listing_title string, normalized_price_usd double")
+    groups = defaultdict(set)
+    for url, cluster in rows(grouped(df)):
+        groups[cluster].add(url)
+    assert sorted(map(sorted, groups.values())) == [["a1", "a2"], ["a3"], ["a4"], ["b1", "b2"], ["b3"], ["b4"], ["c1", "c2"], ["d1", "d2"], ["d3"], ["e1"], ["e2"], ["f"], ["g"], ["h1"], ["h2"]]
+    assert {r.url for r in linked(df).collect()} == {x[0] for x in data if x[0]} - {"e1", "e2", "f", "g"}
+    assert grouped(df.where("false")).count() == 0
+    texts = ["1000W heater", "gift card USD 500", "pack of 12", "up to 500 reviews", "2in1 tool, 100x200 cm", "65QN90B television", "Onyx ON 213-Gen 2", "Acme WH-100XM4"]
+    got = [next((x for x in r if x), None) for r in spark.createDataFrame([(t,) for t in texts], "text string").select(*readings(F.col("text"))).collect()]
+    assert got == [None] * 5 + ["65qn90b||", "213|onyx|gen2", "wh100xm4|acme|"]
