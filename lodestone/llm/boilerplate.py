@@ -44,12 +44,13 @@ class Model:
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
-        rows = np.arange(len(x))
+        flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
         for weight, feature, threshold, left, right, value in self.trees:
+            leaf = feature < 0  # a leaf leads to itself
+            asked, children = np.maximum(feature, 0), np.stack([np.where(leaf, np.arange(len(leaf)), right), np.where(leaf, np.arange(len(leaf)), left)], axis=1).ravel()
             at = np.zeros(len(x), dtype=np.int64)
             for _ in range(DEPTH):
-                f = feature[at]
-                at = np.where(f >= 0, np.where(x[rows, np.maximum(f, 0)] <= threshold[at], left[at], right[at]), at)
+                at = children.take(2 * at + (flat.take(row + asked.take(at)) <= threshold.take(at)))
             out += weight * value[at]
         return 2 * out
 

@@ -29,7 +29,21 @@ NAMES = (
     "block_lines", "block_words", "block_weight", "block_place", "run_lines", "run_words", "run_weight", "head_weight", "head_distance", "head_level",
     "prev_weight", "next_weight", "prev_words", "next_words", "prev_closed", "next_closed", "prev2_weight", "next2_weight", "before_body", "after_body", "from_top", "from_end", "page_weight", "page_lines",
 )
-_BUCKET: dict[str, int] = {}
+#: Of each character below 255, whether it is one of a class.
+_OF = {name: np.isin(np.arange(256), [ord(c) for c in characters]) for name, characters in {"ends": ".!?", "separators": "|/>»·", "brackets": "[](){}"}.items()}
+
+
+class _Buckets(dict):
+    """The token buckets of every word (between blanks) seen, worked out when it is first asked for."""
+
+    def __missing__(self, word: str) -> list[int]:
+        found = [xxhash.xxh32_intdigest("0" if t.isdigit() else t) % BUCKETS for t in TOKEN.findall(word)]
+        if len(word) <= 40:
+            self[word] = found
+        return found
+
+
+_BUCKET = _Buckets()
 
 
 class Lines(NamedTuple):
@@ -87,16 +101,17 @@ def page_lines(texts: list[str | None]) -> Lines:
 
 def buckets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The token buckets of all lines, one after another, and how many tokens each line has (one at least)."""
-    if len(_BUCKET) > 500_000:
+    if len(_BUCKET) > 200_000:
         _BUCKET.clear()
-    out, sizes = [], []
+    out: list[int] = []
+    sizes = []
     for s in lines:
-        tokens = TOKEN.findall(s.lower()) or [""]
-        sizes.append(len(tokens))
-        for t in tokens:
-            if (at := _BUCKET.get(t)) is None:
-                at = _BUCKET[t] = xxhash.xxh32_intdigest("0" if t.isdigit() else t) % BUCKETS
-            out.append(at)
+        before = len(out)
+        for word in s.lower().split():  # no token holds a blank
+            out += _BUCKET[word]
+        if len(out) == before:
+            out.append(xxhash.xxh32_intdigest("") % BUCKETS)
+        sizes.append(len(out) - before)
     return np.array(out, dtype=np.int64), np.array(sizes, dtype=np.int64)
 
 
@@ -124,14 +139,14 @@ def features(lines: Lines, weights: np.ndarray) -> np.ndarray:
     chars = np.array([len(s) for s in lines.text])
     codes = np.frombuffer("".join(lines.text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     start = np.cumsum(chars) - chars
-    tally = lambda mask: np.add.reduceat(mask.astype(np.int64), start)
-    small = np.minimum(codes, 255)
-    of = lambda characters: np.isin(small, [ord(c) for c in characters])
+    tally = lambda mask: np.add.reduceat(mask.astype(np.int32), start).astype(np.int64)
+    small = np.minimum(codes, 255).astype(np.uint8)
+    of = lambda name: _OF[name][small]
     spaces = tally(small == 32) + 1.0
     upper = (codes >= 65) & (codes <= 90) | (codes >= 0xC0) & (codes <= 0xDE)
     own = [
-        spaces, chars, tally(of(".!?") | (codes == 0x3002)), np.isin(codes[start + chars - 1], [33, 46, 63, 0x3002]), [len(s) - len(s.lstrip("#")) for s in lines.text], tally((codes >= 48) & (codes <= 57)) / chars, tally(upper) / spaces,
-        tally(codes > 127) / chars, [s.count("](") for s in lines.text], tally(of("|/>»·") | (codes == 0x2022)), tally(of("[](){}")), [s.find(": ") if ": " in s else 99 for s in lines.text],
+        spaces, chars, tally(of("ends") | (codes == 0x3002)), np.isin(codes[start + chars - 1], [33, 46, 63, 0x3002]), [len(s) - len(s.lstrip("#")) for s in lines.text], tally((codes >= 48) & (codes <= 57)) / chars, tally(upper) / spaces,
+        tally(codes > 127) / chars, [s.count("](") for s in lines.text], tally(of("separators") | (codes == 0x2022)), tally(of("brackets")), [s.find(": ") if ": " in s else 99 for s in lines.text],
         ~((codes[start] >= 48) & (codes[start] <= 57) | (codes[start] >= 65) & (codes[start] <= 90) | (codes[start] >= 97) & (codes[start] <= 122) | (codes[start] > 127)), *(lines.shape == k for k in range(len(SHAPES))),
     ]
     total = np.add.reduceat(single, begin)

@@ -18,7 +18,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,18 @@ FILLER_WORDS, FILLER_SHARE = 5, 0.5
 _CHOSEN = np.array([np.random.default_rng(t).permutation(64) for t in range(TABLES)])
 
 
-def masked(text) -> F.Column:
-    """Lower case, hosts, codes and numbers masked; lines stay apart."""
-    t = F.regexp_replace(F.lower(text), r"(?<![\w-])(?:[\w-]++\.)+(?:example|com|org|net)\b", "host")
-    return F.regexp_replace(F.regexp_replace(t, r"(?<![a-z0-9])[0-9a-f]*[0-9][0-9a-f]*+(?![a-z0-9])|[0-9]+", "0"), r"[ \t\r]{2,}|[\t\r]", " ")
+def masked(values: DataFrame) -> DataFrame:
+    """values with `masked`: its text in lower case, hosts, codes and numbers masked; lines stay apart.
+
+    Most texts have no host, code or run of blanks: what each pattern cannot do without is looked for first, as it is cheaper.
+    """
+    m = F.col("masked")
+    has = lambda *parts: reduce(operator.or_, [m.contains(x) for x in parts])
+    step = lambda df, first, pattern, mask: df.withColumn("masked", F.when(first, F.regexp_replace(m, pattern, mask)).otherwise(m))
+    hosts = step(values.withColumn("masked", F.lower("text")), has(".example", ".com", ".org", ".net"), r"(?<![\w-])(?:[\w-]++\.)+(?:example|com|org|net)\b", "host")
+    numbers = hosts.withColumn("masked", F.regexp_replace(m, "[0-9]++", "0"))
+    codes = step(numbers, m.rlike("0(?:[a-f]|(?<=[a-f]0))"), r"(?<![a-z0-9])(?:0|[a-f]++0)[0-9a-f]*+(?![a-z0-9])", "0")
+    return step(codes, has("  ", "\t", "\r"), r"[ \t\r]{2,}|[\t\r]", " ")
 
 
 def masked_stretch(stretch) -> F.Column:
@@ -59,7 +68,7 @@ def units_of(values: DataFrame, words: F.Column | None = None) -> DataFrame:
     kept = [c for c in values.columns if c != "text"]
     some = lambda c: F.array_distinct(c).cast("array<string>")
     word = F.when(words if words is not None else F.lit(False), some(F.split(F.lower("text"), r"[^\p{L}]+")))
-    raw = values.where("text <> ''").select(*kept, some(F.split(masked("text"), "\n")).alias("l"), some(F.regexp_extract_all("text", F.lit(STRETCH), 0)).alias("s"), word.alias("w"))
+    raw = masked(values.where("text <> ''")).select(*kept, some(F.split("masked", "\n")).alias("l"), some(F.regexp_extract_all("text", F.lit(STRETCH), 0)).alias("s"), word.alias("w"))
     each = raw.select(*kept, F.stack(F.lit(3), F.lit("line"), "l", F.lit("stretch"), "s", F.lit("word"), "w").alias("kind", "units")).select(*kept, "kind", F.explode("units").alias("unit"))
     return each.withColumn("unit", F.when(F.col("kind") == "stretch", masked_stretch(F.col("unit"))).otherwise(F.trim("unit"))).where("unit <> ''")
 
@@ -116,26 +125,36 @@ def simhash(units: list[str]) -> np.ndarray:
         h ^= h >> np.uint64(31)
     grams = sizes - 1
     begin = np.cumsum(grams) - grams
+    # many counts in one word: lanes as wide as the longest unit needs
+    wide = 8 if grams.max() < 1 << 8 else 16 if grams.max() < 1 << 16 else 64
     out = np.empty((len(units), 64), dtype=np.uint8)
-    for bit in range(64):
-        out[:, bit] = 2 * np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), begin) > grams
+    ones = np.uint64(sum(1 << lane for lane in range(0, 64, wide)))
+    for bit in range(wide):
+        sums = np.add.reduceat((h >> np.uint64(bit)) & ones, begin)
+        for lane in range(0, 64, wide):
+            out[:, lane + bit] = 2 * ((sums >> np.uint64(lane)) & np.uint64((1 << wide) - 1)).astype(np.int64) > grams
     return out
 
 
 def signed(units: DataFrame, width: int = BITS) -> DataFrame:
     """(u, unit, s, keys): the SimHash of each unit and its key in each partition."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = 1 << np.arange(width)
+    powers = np.zeros((64, TABLES))
+    for t, chosen in enumerate(_CHOSEN):
+        powers[chosen[:width], t] = 2.0 ** np.arange(width)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            order = np.argsort(pc.utf8_length(batch["unit"]).to_numpy(zero_copy_only=False), kind="stable")  # one long unit widens the lanes of its part only
             for lo in range(0, len(batch), 2_000):
-                part = batch.iloc[lo : lo + 2_000]
-                bits = simhash(part["unit"].tolist())
-                keys = [bits[:, chosen[:width]] @ powers for chosen in _CHOSEN]
+                part = batch.take(pa.array(order[lo : lo + 2_000]))
+                bits = simhash(part["unit"].to_pylist())
+                keys = (bits @ powers).astype(np.int32).ravel()
                 whole = np.packbits(bits, axis=1, bitorder="little").view(np.int64)[:, 0]
-                yield pd.DataFrame({"u": part["u"], "unit": part["unit"], "s": whole, "keys": list(np.stack(keys, axis=1).astype(np.int32))})
+                ends = np.arange(0, len(keys) + 1, TABLES, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part["u"], part["unit"], pa.array(whole), pa.ListArray.from_arrays(ends, keys)], ["u", "unit", "s", "keys"])
 
-    return units.select("u", "unit").mapInPandas(sign, "u long, unit string, s long, keys array<int>")
+    return units.select("u", "unit").mapInArrow(sign, "u long, unit string, s long, keys array<int>")
 
 
 def links(mine: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -2,18 +2,20 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.boilerplate import decode, furniture, main_text
+from lodestone.llm.boilerplate import Model, decode, furniture, main_text
 from lodestone.llm.leakage import find_leaks, word_offsets
 from lodestone.llm.listings import fit_weights, grouped, linked, readings
 from lodestone.llm.near_duplicates import similar_pairs, similar_sets
+from lodestone.llm.pages import BUCKETS, TOKEN, buckets_of
 from lodestone.llm.pii import disclosed, redacted
-from lodestone.llm.residue import residue_rows, spread
+from lodestone.llm.residue import masked, residue_rows, simhash, spread
 from lodestone.llm.spans import shares, tree_spans
 from lodestone.llm.tokenizer import VOCABULARY, encode_corpus
 from lodestone.llm.truncation import field_limits, judged, tails_of
@@ -259,6 +261,64 @@ def test_partitions_reach_edit_similarity(spark):
     assert len(found & set(range(1000, 1300))) >= 270 and 1300 not in found
 
 
+def test_masks_equal_plain_patterns(spark):
+    r = random.Random(5)
+    bits = ["a", "f", "0", "12", "abc", "g", "9f", "-", "_", ".", ".com", ".example", "net", "www.", " ", "  ", "\t", "\r", "\n", "é", "٣", "İ", "A", "B9", "0x1F"]
+    df = spark.createDataFrame([("".join(r.choice(bits) for _ in range(r.randrange(14))),) for _ in range(20_000)] + [(None,)], "text string")
+    host = F.regexp_replace(F.lower("text"), r"(?<![\w-])(?:[\w-]++\.)+(?:example|com|org|net)\b", "host")
+    number = F.regexp_replace(host, r"(?<![a-z0-9])[0-9a-f]*[0-9][0-9a-f]*+(?![a-z0-9])|[0-9]+", "0")
+    plain = F.regexp_replace(number, r"[ \t\r]{2,}|[\t\r]", " ")
+    assert masked(df).where(~F.col("masked").eqNullSafe(plain)).count() == 0
+
+
+def bit_by_bit(units):
+    out = np.empty((len(units), 64), dtype=np.uint8)
+    padded = [f"\x02{u}\x03" for u in units]
+    begin = np.cumsum([0] + [len(p) - 1 for p in padded])[:-1]
+    codes = np.array([(ord(a), ord(b)) for p in padded for a, b in zip(p, p[1:])], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        h = codes[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ codes[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    began = time.process_time()
+    for bit in range(64):
+        out[:, bit] = 2 * np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), begin) > np.diff(np.append(begin, len(h)))
+    return out, time.process_time() - began
+
+
+def test_simhash_equals_bit_by_bit_in_less_time():
+    r = random.Random(9)
+    units = ["".join(r.choices("abcdefgh ıé。", k=r.randrange(1, 140))) for _ in range(6000)]
+    for some in (units[:200], ["b" * 254, "b" * 255, *units[:50]], ["ab" * 200], ["c" * 65_534, "c" * 65_535, "d"], ["", "x"]):
+        assert np.array_equal(simhash(some), bit_by_bit(some)[0])
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        simhash(units)
+        took.append(time.process_time() - began)
+    assert 2 * min(took) < min(bit_by_bit(units)[1] for _ in range(3))  # all of it, against the counting alone
+
+
+def test_trees_and_tokens_equal_plain_walks():
+    import xxhash
+
+    nodes = [(2, 0.5, 1, 2, 0.0), (0, -0.25, 3, 4, 0.0), (-1, 0.0, 0, 0, 0.75), (-1, 0.0, 0, 0, -1.5), (1, 0.0, 5, 6, 0.0), (-1, 0.0, 0, 0, 2.0), (-1, 0.0, 0, 0, -3.0)]
+    model = Model(np.zeros(1), [(1.0, nodes), (0.3, [(-1, 0.0, 0, 0, 0.5)])])
+
+    def walk(row, at=0):
+        f, threshold, left, right, value = nodes[at]
+        return value if f < 0 else walk(row, left if row[f] <= threshold else right)
+
+    x = np.vstack([np.random.default_rng(3).normal(size=(500, 3)), [[-0.25, 0.0, 0.5], [-0.25, 0.0, 0.6]]])
+    assert np.array_equal(model.log_odds(x), [2 * (walk(row) + 0.3 * 0.5) for row in x]) and not len(model.log_odds(x[:0]))
+    lines = ["", " ", "ΑΣ İstanbul 2,089.50 (½) a_b", "em\u2003space nel\x85 x", "y" * 60 + " 12", "12 12"]
+    want = [[xxhash.xxh32_intdigest("0" if t.isdigit() else t) % BUCKETS for t in TOKEN.findall(s.lower()) or [""]] for s in lines]
+    for _ in range(2):
+        tokens, sizes = buckets_of(lines)
+        assert tokens.tolist() == [t for w in want for t in w] and sizes.tolist() == [len(w) for w in want]
+
+
 def test_tails():
     ends = lambda t: tails_of([t], None)[0][0]
     assert ends("A whole sentence stands here.") == "closed" and ends("") == "closed" and ends(None) == "closed" and ends("# Title") == "closed" and ends("| a | b |") == "closed"
